@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 TEXT_KEYS = ("text", "output", "stdout", "stderr", "content", "error", "message")
 
 _SCHEMA = ", ".join(f"{k} STRING" for k in ("command", "toolName", "toolCallId", *TEXT_KEYS)) + ", isError BOOLEAN"
-_CHUNKS = "ARRAY<STRUCT<type: STRING, text: STRING>>"
-
 #: White space of any kind, the invisible characters included (Java's \s is ASCII only).
 SPACE = r"[\s\u0085\u00a0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+"
 _ANSI = r"\u001b\[[0-9;?]*[A-Za-z]"
@@ -22,9 +20,10 @@ def parsed(payload: Column) -> Column:
 
 
 def _one(value: Column) -> Column:
-    """A text field: a string as it is, a list of content chunks as their texts in lines."""
-    chunks = F.array_join(F.transform(F.from_json(value, _CHUNKS), lambda c: c["text"]), "\n")
-    return F.when(value.startswith("["), F.coalesce(F.nullif(chunks, F.lit("")), value)).otherwise(value)
+    """A text field: a string as it is, a list of content chunks as their texts in lines (chunks without text add none)."""
+    chunk = lambda c: F.when(c.startswith("{"), F.get_json_object(c, "$.text")).otherwise(c)
+    listed = F.from_json(value, "ARRAY<STRING>")
+    return F.when(value.startswith("[") & listed.isNotNull(), F.array_join(F.transform(listed, chunk), "\n")).otherwise(value)
 
 
 def text_of(p: Column) -> Column:
