@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelode.plans import deliveries
+
+_MODULES = (deliveries,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Every query of the core by name."""
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The SQL of each query that SQL can express."""
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}

@@ -72,3 +72,10 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that an operator writes and reads again."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared folder and read back: for what is read twice and must be the same both times."""
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
