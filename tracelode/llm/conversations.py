@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tracelode.functions import payload as P
 from tracelode.functions.instants import instant_micros
 from tracelode.operators.ordered import first_arrival, sorted_pieces
+from tracelode.session import stored
 
 USER, ASSISTANT = 0, 1
 _ROLES = {"user_input": USER, "assistant_output": ASSISTANT}
@@ -128,7 +129,7 @@ def conversations(events: DataFrame, gap_seconds: float | None = None) -> DataFr
 
     keep = session_verdicts(events).filter("not dropped").select("session_id")
     kept = message_rows(events, with_text=True).filter("is_message").select("session_id", "ts", "ingest_seq", "role", "text").join(keep, "session_id", "left_semi")
-    rows = sorted_pieces(kept, "session_id", ["ts", "ingest_seq"], number, "session_id STRING, piece LONG, at LONG, breaks LONG, ts LONG, role STRING, text STRING")
+    rows = stored(sorted_pieces(kept, "session_id", ["ts", "ingest_seq"], number, "session_id STRING, piece LONG, at LONG, breaks LONG, ts LONG, role STRING, text STRING"), "turns")
     sizes = rows.groupBy("session_id", "piece").agg(F.max("at").alias("a"), F.max("breaks").alias("b"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     w = Window.partitionBy("session_id").orderBy("piece")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)

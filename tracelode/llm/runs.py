@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tracelode.functions import payload as P
 from tracelode.functions.instants import instant_micros
 from tracelode.operators.ordered import first_arrival, sorted_pieces
+from tracelode.session import stored
 
 #: Values that a machine makes anew at each execution, as fixed values: (pattern, what stands for it).
 _MASK_BOTH = (
@@ -131,7 +132,7 @@ def consecutive_runs(events: DataFrame, min_similarity: float = 0.9, max_gap_sec
             }
         )
 
-    rows = sorted_pieces(step_events(events), "session_id", ["ts", "ingest_seq"], piece, _RUN)
+    rows = stored(sorted_pieces(step_events(events), "session_id", ["ts", "ingest_seq"], piece, _RUN), "runs")
     # The edges: the first and last run of each piece. All events of a run are the same step, so one key speaks for it.
     w = Window.partitionBy("session_id").orderBy("piece", "at")
     prev = lambda c: F.lag(c).over(w)
