@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import conversations, runs
+from tracelode.llm import conversations, overlap, runs, splits
 from tracelode.session import table
 
 
@@ -19,6 +19,22 @@ def p1_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return runs.consecutive_runs(table(spark, sf, "trace_events"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, sf, "episodes"))
+
+
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, sf, "episodes"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.components(table(spark, sf, "episodes")).filter("members > 1").select("episode_no", "group_no")
+
+
+def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.assign_splits(table(spark, sf, "episodes"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.session_verdicts(table(spark, sf, "trace_events")).filter("dropped").select("session_id")
 
