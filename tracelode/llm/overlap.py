@@ -41,9 +41,10 @@ def signature_words(raw: Column) -> Column:
 def block_codes(words: Column, seed: int, skip: list[tuple[int, Column]] = ()) -> Column:
     """BLOCKS codes of 64 bits; words whose hash of an earlier seed lies in a block of `skip` are left out."""
     h = lambda w, s: F.xxhash64(w, F.lit(s))
+    outside = lambda s, block: lambda w: F.pmod(h(w, s), F.lit(BLOCKS)) != block
     left = words
     for s, block in skip:
-        left = F.filter(left, lambda w, s=s, block=block: F.pmod(h(w, s), F.lit(BLOCKS)) != block)
+        left = F.filter(left, outside(s, block))
 
     def code(b: int) -> Column:
         mine = F.filter(left, lambda w: F.pmod(h(w, seed), F.lit(BLOCKS)) == b)
