@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import conversations, overlap, runs, splits
+from tracelode.llm import conversations, leaks, overlap, runs, splits, tokens
 from tracelode.session import table
 
 
@@ -43,5 +43,21 @@ def p6_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.conversations(table(spark, sf, "trace_events"))
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode_column(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leak_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
