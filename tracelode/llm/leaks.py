@@ -3,7 +3,8 @@
 The items' own sentences (those that stand in one item only) form an inverted index with BM25 impacts, in blocks with
 their maxima. Every document is cut into overlapping passages, and every passage is a query: block-max WAND skips what
 can't reach the threshold. An item's impacts are divided by the least score that any `min_words` words of it can have
-with a quarter of them lost, so the threshold is 1 for all items and no passage that keeps three words in four is missed.
+with their three best words lost, so the threshold is 1 for all items, and no passage is missed for the loss of any three
+of twenty words, or of more that are not all the best ones.
 Retrieved pairs are verified by a local word alignment: at least `min_words` words of the item in one passage, of which
 at least `min_match` stand there unchanged.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -69,7 +71,7 @@ def own_sentences(items: DataFrame) -> DataFrame:
 class ItemIndex:
     """BM25 impacts of a block of items, scaled so that 1 is the threshold of each item."""
 
-    def __init__(self, items: dict[int, list[str]], min_words: int = 20, lost: int = 5, block: int = 32):
+    def __init__(self, items: dict[int, list[str]], min_words: int = 20, lost: int = 3, block: int = 8):
         self.ids = sorted(i for i, w in items.items() if len(w) >= min_words)
         self.words = {i: items[i] for i in self.ids}
         counts = [Counter(self.words[i]) for i in self.ids]
@@ -86,73 +88,63 @@ class ItemIndex:
             for w, x in impact.items():
                 lists[w].append((k, x / max(least, 1e-6)))
         self.term = {w: t for t, w in enumerate(sorted(lists))}
+        self.block, self.blocks = block, max(1, -(-n // block))
         self.docs: list[list[int]] = [[] for _ in self.term]
         self.impact: list[list[float]] = [[] for _ in self.term]
-        self.ends: list[list[int]] = [[] for _ in self.term]
-        self.tops: list[list[float]] = [[] for _ in self.term]
-        self.top = [0.0] * len(self.term)
+        #: The highest impact of a term in each block of items, and in all.
+        self.tops = np.zeros((len(self.term), self.blocks), dtype=np.float32)
         for w, t in self.term.items():
-            self.docs[t], self.impact[t] = [k for k, _ in lists[w]], [x for _, x in lists[w]]
-            for a in range(0, len(lists[w]), block):
-                part = lists[w][a : a + block]
-                self.ends[t].append(part[-1][0])
-                self.tops[t].append(max(x for _, x in part))
-            self.top[t] = max(self.tops[t])
-        self.block = block
+            self.docs[t], self.impact[t] = [k for k, _ in lists[w]], [float(x) for _, x in lists[w]]
+            np.maximum.at(self.tops[t], np.array(self.docs[t]) // block, np.array(self.impact[t], dtype=np.float32))
+        self.top = self.tops.max(axis=1, initial=0).tolist()
 
     def retrieve(self, terms: list[int]) -> list[int]:
-        """Block-max WAND: all items (positions) that score at least 1 for a passage's distinct terms."""
-        top = self.top
-        if sum(top[t] for t in terms) < 1:
+        """Block-max WAND: all items (positions) that score at least 1 for a passage's distinct terms.
+
+        Blocks whose maxima sum to less than 1 are jumped over; within the others a pivot is the first item at which
+        the terms' overall maxima reach 1, and only pivots that all earlier cursors have reached are scored.
+        """
+        bound = self.tops[terms].sum(axis=0)
+        open_blocks = np.flatnonzero(bound >= 0.999).tolist()
+        if not open_blocks:
             return []
         found: list[int] = []
-        cursors = [[self.docs[t][0], 0, t] for t in terms]  # next item, position in the list, term
+        top, docs, impact = self.top, self.docs, self.impact
+        cursors = []  # [next item, position in the list, term]
+        for t in terms:
+            cursors.append([docs[t][0], 0, t])
 
         def move(c: list, to: int) -> bool:
-            t = c[2]
-            docs, ends, at = self.docs[t], self.ends[t], c[1]
-            b = at // self.block
-            while b < len(ends) and ends[b] < to:
-                b += 1
-            at = max(at, b * self.block)
-            while at < len(docs) and docs[at] < to:
-                at += 1
-            if at >= len(docs):
+            own = docs[c[2]]
+            at = bisect_left(own, to, c[1])
+            if at >= len(own):
                 return False
-            c[0], c[1] = docs[at], at
+            c[0], c[1] = own[at], at
             return True
 
-        while cursors:
-            cursors.sort()
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += top[c[2]]
-                if bound >= 1:
-                    pivot = k
+        for block in open_blocks:
+            low, high = block * self.block, (block + 1) * self.block
+            cursors = [c for c in cursors if c[0] >= low or move(c, low)]
+            while True:
+                cursors.sort()
+                total, pivot = 0.0, -1
+                for k, c in enumerate(cursors):
+                    total += top[c[2]]
+                    if total >= 0.999:
+                        pivot = k
+                        break
+                if pivot < 0:
+                    return found
+                doc = cursors[pivot][0]
+                if doc >= high:
                     break
-            if pivot < 0:
-                break
-            doc = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == doc:
-                pivot += 1
-            near, until = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 60
-            for c in cursors[: pivot + 1]:
-                t = c[2]
-                b = c[1] // self.block
-                while b < len(self.ends[t]) and self.ends[t][b] < doc:
-                    b += 1
-                if b < len(self.ends[t]):
-                    near += self.tops[t][b]
-                    until = min(until, self.ends[t][b] + 1)
-            if near < 1:  # the blocks around the pivot are too low: go past the nearest border
-                to = max(until, doc + 1)
-                cursors = [c for k, c in enumerate(cursors) if k > pivot or move(c, to)]
-            elif cursors[0][0] == doc:
-                if sum(self.impact[c[2]][c[1]] for c in cursors[: pivot + 1]) >= 1:
+                if cursors[0][0] < doc:
+                    cursors = [c for c in cursors if c[0] >= doc or move(c, doc)]
+                    continue
+                here = [c for c in cursors if c[0] == doc]
+                if sum(impact[c[2]][c[1]] for c in here) >= 1:
                     found.append(doc)
-                cursors = [c for k, c in enumerate(cursors) if k > pivot or move(c, doc + 1)]
-            else:
-                cursors = [c for c in cursors if c[0] >= doc or move(c, doc)]
+                cursors = [c for c in cursors if c[0] > doc or move(c, doc + 1)]
         return found
 
 
@@ -208,11 +200,11 @@ def _leaks_of(words: list[str], index: ItemIndex, full: dict[int, tuple[list[str
     return out
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 20, min_match: float = 0.75, width: int = 48, block_items: int = 20_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 20, min_match: float = 0.75, width: int = 48, block_items: int = 2_000) -> DataFrame:
     """doc_id, item_id of every document that contains at least `min_words` words of an item's own text in a passage."""
     sents = own_sentences(items)
     spark = docs.sparkSession
-    ids = [r[0] for r in sents.select("item_id").distinct().groupBy(F.floor(F.col("item_id") / block_items).alias("b")).agg(F.min("b")).orderBy("b").select("b").toLocalIterator()]
+    ids = sorted(r[0] for r in sents.select(F.floor(F.col("item_id") / block_items)).distinct().toLocalIterator())
     passes: list[DataFrame] = []
     for b in ids:
         full: dict[int, tuple[list[str], list[bool]]] = {}

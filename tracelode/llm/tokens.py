@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The public pre-token pattern of the byte_bpe_50k vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -209,7 +210,7 @@ def encode_column(docs: DataFrame, text: str = "text", out: str = "ids", vocabul
                 keep = [part.column(part.schema.get_field_index(c)) for c in others]
                 yield pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*others, out])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add(out, "array<int>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add(out, T.ArrayType(T.IntegerType()))
     return docs.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(run, schema)
 
 
