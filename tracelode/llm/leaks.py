@@ -6,7 +6,8 @@ can't reach the threshold. An item's impacts are divided by the least score that
 with their three best words lost, so the threshold is 1 for all items, and no passage is missed for the loss of any three
 of twenty words, or of more that are not all the best ones.
 Retrieved pairs are verified by a local word alignment: at least `min_words` words of the item in one passage, of which
-at least `min_match` stand there unchanged.
+at least `min_match` stand there unchanged, and with them at least `min_weight` of the passage's inverse document
+frequency: sentences of one pattern about other things share the pattern's words, not those.
 
 The index is broadcast in blocks of at most `block_items` items; a larger benchmark takes one pass over the corpus a
 block. Sentences that several items share are found with a distributed count over all items.
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.session import spread
+
 K1, B = 1.2, 0.75
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
 _ESCAPE = re.compile(r"\\(?:[nrt\"'/\\bf]|u([0-9a-fA-F]{4}))")
@@ -81,6 +84,10 @@ class ItemIndex:
         for i, c in zip(self.ids, counts):
             norm = K1 * (1 - B + B * len(self.words[i]) / mean)
             raw.append({w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in c.items()})
+        self.idf = {w: float(np.log(1 + (n - x + 0.5) / (x + 0.5))) for w, x in df.items()}
+        #: Of each item: how often it has a word, and the least weight of any `min_words` words of it.
+        self.most = counts
+        self.least = [min(sum(self.idf[w] for w in self.words[i][a : a + min_words]) for a in range(len(self.words[i]) - min_words + 1)) for i in self.ids]
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, (i, impact) in enumerate(zip(self.ids, raw)):
             seq = self.words[i]
@@ -148,8 +155,8 @@ class ItemIndex:
         return found
 
 
-def aligned(doc: np.ndarray, item: np.ndarray, own: np.ndarray) -> tuple[int, int]:
-    """Best local alignment of two lists of word codes: (own words of the item in it, those unchanged)."""
+def aligned(doc: np.ndarray, item: np.ndarray, own: np.ndarray, weight: np.ndarray) -> tuple[int, int, float, float]:
+    """Best local alignment of two lists of word codes: own words of the item in it, those unchanged, and their weights."""
     n, m = len(doc), len(item)
     score = np.zeros((n + 1, m + 1), dtype=np.float32)
     ramp = np.arange(m + 1, dtype=np.float32)
@@ -158,49 +165,62 @@ def aligned(doc: np.ndarray, item: np.ndarray, own: np.ndarray) -> tuple[int, in
         t[1:] = np.maximum(np.maximum(score[i - 1, :-1] + np.where(item == doc[i - 1], 1, -1), score[i - 1, 1:] - 1), 0)
         score[i] = np.maximum.accumulate(t + ramp) - ramp
     i, j = np.unravel_index(int(np.argmax(score)), score.shape)
-    stop, same = j, 0
+    stop, same, heavy = j, 0, 0.0
     while i > 0 and j > 0 and score[i, j] > 0:
         s = score[i, j]
         if s == score[i - 1, j - 1] + (1 if item[j - 1] == doc[i - 1] else -1):
-            same += int(item[j - 1] == doc[i - 1] and own[j - 1])
+            if item[j - 1] == doc[i - 1] and own[j - 1]:
+                same, heavy = same + 1, heavy + float(weight[j - 1])
             i, j = i - 1, j - 1
         elif s == score[i - 1, j] - 1:
             i -= 1
         else:
             j -= 1
-    return int(own[j:stop].sum()), same
+    return int(own[j:stop].sum()), same, float(weight[j:stop][own[j:stop]].sum()), heavy
 
 
-def _leaks_of(words: list[str], index: ItemIndex, full: dict[int, tuple[list[str], list[bool]]], min_words: int, min_match: float, width: int) -> list[int]:
+def _leaks_of(words: list[str], index: ItemIndex, full: dict[int, tuple[list[str], list[bool]]], min_words: int, min_match: float, min_weight: float, width: int) -> list[int]:
     step = width // 2
     near: dict[int, list[int]] = defaultdict(list)
+    passages: dict[int, Counter] = {}
     code = [index.term.get(w, -1) for w in words]
     for a in range(0, max(1, len(words) - step), step):
         terms = list({t for t in code[a : a + width] if t >= 0})
         if terms:
             for k in index.retrieve(terms):
                 near[k].append(a)
+                if a not in passages:
+                    passages[a] = Counter(words[a : a + width])
     out = []
     for k, starts in near.items():
         item, own = full[index.ids[k]]
         ids = {w: x for x, w in enumerate(dict.fromkeys(item))}
         item_codes, flags = np.array([ids[w] for w in item]), np.array(own)
+        weight = np.array([index.idf.get(w, 0.0) for w in item])
         stretch: list[list[int]] = []
+        have, idf, enough = index.most[k], index.idf, min_weight * index.least[k]
         for a in starts:  # passages that touch are one stretch
+            shared = 0.0
+            for w, n in passages[a].items():
+                if w in have:
+                    shared += idf[w] * min(n, have[w])
+            if shared < enough:
+                continue  # not even all shared words together would do
             if stretch and a <= stretch[-1][1]:
                 stretch[-1][1] = a + width
             else:
                 stretch.append([a, a + width])
         for a, b in stretch:
-            part = np.array([ids.get(w, -1) for w in words[max(0, a - step) : b + step]])
-            span, same = aligned(part, item_codes, flags)
-            if span >= min_words and same >= min_match * span:
+            here = words[max(0, a - step) : b + step]
+            part = np.array([ids.get(w, -1) for w in here])
+            span, same, total, heavy = aligned(part, item_codes, flags, weight)
+            if span >= min_words and same >= min_match * span and heavy >= min_weight * total:
                 out.append(index.ids[k])
                 break
     return out
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 20, min_match: float = 0.75, width: int = 48, block_items: int = 2_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 20, min_match: float = 0.75, min_weight: float = 0.65, width: int = 48, block_items: int = 2_000) -> DataFrame:
     """doc_id, item_id of every document that contains at least `min_words` words of an item's own text in a passage."""
     sents = own_sentences(items)
     spark = docs.sparkSession
@@ -214,15 +234,15 @@ def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 20, min_mat
             have[0].extend(w)
             have[1].extend([r["own"]] * len(w))
         index = ItemIndex({i: [w for w, o in zip(*x) if o] for i, x in full.items()}, min_words)
-        spread = spark.sparkContext.broadcast((index, full))
+        sent = spark.sparkContext.broadcast((index, full))
 
-        def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
-            index, full = spread.value
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index, full = sent.value
             for batch in batches:
-                pairs = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in _leaks_of(words_of(t), index, full, min_words, min_match, width)]
+                pairs = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in _leaks_of(words_of(t), index, full, min_words, min_match, min_weight, width)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "item_id"])
 
-        passes.append(docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''").mapInArrow(run, "doc_id LONG, item_id LONG"))
+        passes.append(spread(docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''")).mapInArrow(run, "doc_id LONG, item_id LONG"))
     if not passes:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id")).limit(0)
     return reduce(DataFrame.unionByName, passes)

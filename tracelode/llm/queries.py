@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import conversations, leaks, overlap, runs, splits, tokens
+from tracelode.llm import conversations, leaks, overlap, personal, runs, splits, tokens
 from tracelode.session import table
 
 
@@ -59,5 +59,13 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leak_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.find_details(table(spark, sf, "documents"), table(spark, sf, "roster"))
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.redact(table(spark, sf, "documents"), table(spark, sf, "roster"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelode.session import spread
+
 #: The public pre-token pattern of the byte_bpe_50k vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -195,11 +197,11 @@ class Encoder:
 def encode_column(docs: DataFrame, text: str = "text", out: str = "ids", vocabulary: str = VOCABULARY, batch: int = 256) -> DataFrame:
     """`docs` with the token ids of `text` in `out`; its other columns stay. One pass, no shuffle."""
     ranks = read_vocabulary(vocabulary)
-    spread = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
     others = [c for c in docs.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*spread.value)
+        encoder = Encoder(*sent.value)
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
@@ -211,7 +213,7 @@ def encode_column(docs: DataFrame, text: str = "text", out: str = "ids", vocabul
                 yield pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*others, out])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add(out, T.ArrayType(T.IntegerType()))
-    return docs.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(run, schema)
+    return spread(docs.select(*[F.col(f"`{c}`") for c in others])).mapInArrow(run, schema)
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
