@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.plans import deliveries
+from tracelode.plans import deliveries, drift
 
-_MODULES = (deliveries,)
+_MODULES = (deliveries, drift)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

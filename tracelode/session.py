@@ -79,3 +79,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_table(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
+    """`df` in enough partitions to keep all cores busy with costly Python work; as it is where it has them.
+
+    Only an input of fewer partitions than cores is moved, so what is shuffled is bounded by the cores times a split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * tasks_per_core)
