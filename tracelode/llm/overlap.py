@@ -60,7 +60,6 @@ def classes(episodes: DataFrame, train: str = "train") -> DataFrame:
     return words.filter("key <> 'recovery'").withColumn("words", F.split("key", " ")).withColumn("code", block_codes(F.col("words"), 0))
 
 
-@F.pandas_udf("int")
 def _edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Word edit distance, 3 for anything over 2."""
 
@@ -108,7 +107,7 @@ def near_classes(sigs: DataFrame, hot_pairs: int = 4096, levels: int = 3) -> Dat
     return (
         pairs.join(words.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a")
         .join(words.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
-        .filter(_edit_distance("wa", "wb") <= 2)
+        .filter(F.pandas_udf(_edit_distance, "int")("wa", "wb") <= 2)
         .select("a", "b")
     )
 
