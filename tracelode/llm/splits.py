@@ -77,7 +77,9 @@ def contract(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 def components(episodes: DataFrame) -> DataFrame:
     """One row per episode: episode_no, group_no (the least episode of its component), members."""
     records = stored(record_keys(episodes), "records")
-    edges = records.filter("session is not null and family is not null").select(F.col("family").alias("a"), F.col("session").alias("b")).unionByName(records.filter("instance is not null").select(F.col("session").alias("a"), F.col("instance").alias("b")))
+    # The instance is a part of the session id: where there is one, it stands for all its sessions.
+    records = records.withColumn("session", F.coalesce("instance", "session"))
+    edges = records.filter("session is not null and family is not null").select(F.col("family").alias("a"), F.col("session").alias("b"))
     labels = contract(edges)
     keyed = records.select("episode_no", F.coalesce("session", "family", F.concat(F.lit("e"), F.col("episode_no").cast("string"))).alias("vertex"))
     by_key = stored(keyed.groupBy("vertex").agg(F.min("episode_no").alias("least"), F.count("*").alias("n")).join(labels, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")), "by-key")
