@@ -22,9 +22,9 @@ def jump(seed: int, steps: int) -> int:
 def bootstrap_reductions(pairs: DataFrame, columns: list[str], order: str, samples: int = 2000, seed: int = 31, confidence: float = 0.95, max_pairs: int = 100_000) -> DataFrame:
     """statistic, low, median, high of the relative reductions off_x -> on_x of resampled pairs.
 
-    Sample k draws positions with steps k n + 1 .. k n + n of one generator; its start is computed by jumping ahead. The
-    draws of a sample are folded in an expression, so samples run in parallel; pairs are counted per (sample, position)
-    before the join, whose small side is bounded by `max_pairs`.
+    Sample k draws positions with steps k n + 1 .. k n + n of one generator; its start is computed by jumping ahead and
+    every draw's step too, so all draws are computed at once; pairs are counted per (sample, position) before the join,
+    and both broadcast sides are bounded by `max_pairs`.
     """
     n = pairs.count()
     if n > max_pairs:
@@ -36,10 +36,15 @@ def bootstrap_reductions(pairs: DataFrame, columns: list[str], order: str, sampl
     rows = sorted(pairs.select(order, *[F.col(x).cast("double") for x in names]).collect(), key=lambda r: r[0])
     table = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "pos int, " + ", ".join(f"{x} double" for x in names))
     starts = spark.createDataFrame([(k, jump(seed, k * n)) for k in range(max(200, samples))], "sample int, state bigint").repartition(spark.sparkContext.defaultParallelism)
-    step = lambda s: F.pmod(s * F.lit(_A).cast("bigint") + F.lit(_C), F.lit(_M).cast("bigint"))
-    zero = F.struct(F.col("state").alias("s"), F.array().cast("array<int>").alias("d"))
-    fold = F.aggregate(F.sequence(F.lit(1), F.lit(n)), zero, lambda acc, _: F.struct(step(acc["s"]).alias("s"), F.array_append(acc["d"], F.floor(step(acc["s"]) * F.lit(n) / F.lit(_M)).cast("int")).alias("d")))
-    draws = starts.select("sample", F.explode(fold["d"]).alias("pos")).groupBy("sample", "pos").agg(F.count("*").alias("times"))
+    jumps, a, c = [], 1, 0
+    for j in range(1, n + 1):  # step j from any state: a s + c
+        a, c = a * _A % _M, (c * _A + _C) % _M
+        jumps.append((j, a >> 16, a & 0xFFFF, c))
+    steps = spark.createDataFrame(jumps, "j int, hi bigint, lo bigint, c bigint")
+    s0 = F.col("state")
+    state = F.pmod(F.pmod(F.col("hi") * s0, F.lit(1 << 16)) * F.lit(1 << 16) + F.col("lo") * s0 + F.col("c"), F.lit(_M))
+    drawn = starts.select("sample", "state", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("j")).join(F.broadcast(steps), "j")
+    draws = drawn.select("sample", F.floor(state * F.lit(n) / F.lit(_M)).cast("int").alias("pos")).groupBy("sample", "pos").agg(F.count("*").alias("times"))
     sums = draws.join(F.broadcast(table), "pos").groupBy("sample").agg(*[F.sum(F.col(x) * F.col("times")).alias(x) for x in names])
     from tracelode.functions.metrics import relative_reduction
 
