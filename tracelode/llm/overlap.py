@@ -86,11 +86,13 @@ def _distance(a: Column, b: Column) -> Column:
 def near_classes(sigs: DataFrame, hot_pairs: int = 4096, levels: int = 3) -> DataFrame:
     """Pairs of different classes at most two words apart, one with train episodes, the other with held-out ones."""
     found: list[DataFrame] = []
-    rows = sigs.select("cls", "words", "code", (F.col("n_train") > 0).alias("t"), (F.col("n_held") > 0).alias("h"), F.lit("").alias("key"), F.array().cast("array<int>").alias("path"))
+    words = sigs.select("cls", "words")
+    rows = sigs.select("cls", "code", "words", (F.col("n_train") > 0).alias("t"), (F.col("n_held") > 0).alias("h"), F.lit(0).cast("bigint").alias("key"), F.array().cast("array<int>").alias("path"))
     for level in range(levels):
         skip = [(s, F.col("path")[s]) for s in range(level)]
         codes = F.col("code") if level == 0 else block_codes(F.col("words"), level, skip)
-        keyed = rows.select("cls", "words", "code", "t", "h", "path", "key", F.posexplode(codes).alias("b", "c")).select("cls", "words", "code", "t", "h", F.concat("path", F.array("b")).alias("path"), F.concat_ws(",", "key", "b", "c").alias("key"))
+        # A key is a hash of the blocks and codes so far; a collision would only add a candidate. Words stay behind.
+        keyed = rows.select("cls", "code", "t", "h", "path", "key", F.posexplode(codes).alias("b", "c")).select("cls", "code", "t", "h", F.concat("path", F.array("b")).alias("path"), F.xxhash64("key", "b", "c").alias("key"))
         keyed = stored(keyed, f"blocks-{level}")
         pairs = F.col("nt").cast("double") * F.col("nh")
         sizes = keyed.groupBy("key").agg(F.sum(F.col("t").cast("long")).alias("nt"), F.sum(F.col("h").cast("long")).alias("nh"), F.sum((F.col("t") & F.col("h")).cast("long")).alias("nb")).filter("nt > 0 and nh > 0 and not (nt = 1 and nh = 1 and nb = 1)").select("key", (pairs > hot_pairs if level < levels - 1 else F.lit(False)).alias("hot"))
@@ -99,11 +101,11 @@ def near_classes(sigs: DataFrame, hot_pairs: int = 4096, levels: int = 3) -> Dat
         left = cold.filter("t").select("key", F.col("cls").alias("a"), F.col("code").alias("ca"))
         right = cold.filter("h").select("key", F.col("cls").alias("b"), F.col("code").alias("cb"))
         found.append(left.join(right, "key").filter((F.col("a") != F.col("b")) & (_distance(F.col("ca"), F.col("cb")) <= RADIUS)).select("a", "b"))
-        rows = sized.filter("hot").drop("hot")
-        if level < levels - 1 and rows.isEmpty():
+        hot = sized.filter("hot").drop("hot")
+        if level == levels - 1 or hot.isEmpty():
             break
+        rows = hot.join(words, "cls")
     pairs = stored(reduce(DataFrame.unionByName, found).distinct(), "near")
-    words = sigs.select("cls", "words")
     return (
         pairs.join(words.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a")
         .join(words.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
