@@ -283,6 +283,22 @@ def test_surrogates_are_distinct_and_stable():
     assert len(set(phones)) == 2 and all(p.startswith("+1 ") and len(p) == 15 for p in phones)
 
 
+def test_no_street_name_survives():
+    lex = personal.Lexicon([])
+    forms = {
+        "Plaza Kaibremoick 87": ["kaibremoick"], "Calle de la Trisk, 5": ["trisk"], "AVENIDA DEL ZOLWICK 12": ["zolwick"], "Flat 12, 6 Feaganoa St": ["feaganoa"], "25 Upper Trylisuis Road": ["upper", "trylisuis"],
+        "118 Roplo-Kwiick St, Apt 3": ["roplo", "kwiick"], "115 OLD SHYNDICK LANE": ["old ", "shyndick"], "97 chemin du Thondaen": ["thondaen"], "76 rue des Trearea": ["trearea"], "9, avenue de l'Ostéa, appt 4": ["ostéa"], "Miraengasse 140": ["mira"],
+        "Jufosdaweg 107a, Whg 3": ["jufosda"], "KRASOISSTRASSE 4": ["krasois"], "Lulstr. 7": ["lul"], "12 Upper Street": ["upper"], "7 Holm Street": ["holm "],
+    }
+    for form, gone in forms.items():
+        assert [form[a:b] for k, a, b in personal.details(form, lex) if k == "address"] == [form]
+        for n in range(40):
+            clean = personal.redacted(form + " then", lex, b"k%d" % n)
+            assert clean.startswith("[address: ") and not any(x in clean.lower() for x in gone), (form, clean)
+            assert clean.split(": ")[1].split("]")[0].isupper() == form.isupper()
+    assert personal.redacted("Miraengasse 140", lex, b"k").split("gasse ")[1].rstrip("]").isdigit() and "rue des " in personal.redacted("76 rue des Trearea", lex, b"k")
+
+
 def test_queries_are_listed(spark):
     from tracelode.llm import queries
 

@@ -67,12 +67,12 @@ ID_NUMBER = re.compile(r"(?<![\w./-])(?:\d{3}([ -]?)\d{2}\1\d{4}|\d{2}([ /.]?)\d
 _WORD = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 ADDRESS = re.compile(
     rf"(?<![\w-])(?:"
-    rf"(?:(?:[Ff]lat|FLAT|[Uu]nit|UNIT|[Aa]pt\.?|APT\.?)[  ]\d+[A-Za-z]?,[  ])?\d{{1,4}}[A-Za-z]?[  ](?:(?:North|South|East|West|Old|New|Upper|Lower|Great|NORTH|SOUTH|EAST|WEST|OLD|NEW|UPPER|LOWER|GREAT)[  ])?[^\W\da-z_]{_WORD}[  ]"
+    rf"(?:(?:[Ff]lat|FLAT|[Uu]nit|UNIT|[Aa]pt\.?|APT\.?)[  ]\d+[A-Za-z]?,[  ])?\d{{1,4}}[A-Za-z]?[  ](?:(?P<which>North|South|East|West|Old|New|Upper|Lower|Great|NORTH|SOUTH|EAST|WEST|OLD|NEW|UPPER|LOWER|GREAT)[  ])?(?P<street>[^\W\da-z_]{_WORD})[  ]"
     r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Terrace|Ter|Way|Place|Pl|Boulevard|Blvd|Square|Sq|Close|Crescent|STREET|ST|AVENUE|AVE|ROAD|RD|LANE|LN|DRIVE|DR|COURT|CT|TERRACE|WAY|PLACE|PL|BOULEVARD|BLVD|SQUARE|CLOSE|CRESCENT)\b"
     r"(?:,[  ](?:[Aa]pt|APT|[Ff]lat|FLAT|[Uu]nit|UNIT|[Ss]uite|SUITE|[Aa]partment|APARTMENT)\.?[  ]\d+[A-Za-z]?\b)?"
-    rf"|[^\W\da-z_]{_WORD}(?:(?<=straße)|(?<=strasse)|(?<=STRASSE)|(?<=STRAßE)|(?<=str)\.|(?<=STR)\.|(?<=weg)|(?<=WEG)|(?<=gasse)|(?<=GASSE)|(?<=platz)|(?<=PLATZ)|(?<=allee)|(?<=ALLEE)|(?<=ufer)|(?<=damm)|(?<=ring))[  ]\d{{1,4}}(?:[  ]?[a-zA-Z])?(?!\w)(?:,[  ](?:Whg|Wohnung|WHG|WOHNUNG)\.?[  ]\d+\b)?"
-    rf"|\d{{1,4}}(?:[  ]?(?:bis|ter|BIS|TER))?,?[  ](?:rue|avenue|boulevard|chemin|place|allée|quai|impasse|RUE|AVENUE|BOULEVARD|CHEMIN|PLACE|ALLÉE|QUAI|IMPASSE)[  ](?:(?:de[  ]la|de[  ]l['’]|des|du|de|d['’]|DE[  ]LA|DES|DU|DE)[  ]?)?[^\W\da-z_]{_WORD}(?:,[  ](?:appt|apt|APPT|APT)\.?[  ]\d+\b)?"
-    rf"|(?:Calle|Avenida|Plaza|Paseo|Camino|CALLE|AVENIDA|PLAZA|PASEO|CAMINO|C/)[  ]?(?:(?:de[  ]la|de[  ]los|del|de|DE[  ]LA|DEL|DE)[  ])?[^\W\da-z_]{_WORD},?[  ](?:n\.?º[  ]?)?\d{{1,4}}[a-zA-Z]?\b(?:,[  ]\d+\.?º[  ]?[A-Za-z]?\b)?"
+    rf"|(?P<strasse>[^\W\da-z_]{_WORD})(?:(?<=straße)|(?<=strasse)|(?<=STRASSE)|(?<=STRAßE)|(?<=str)\.|(?<=STR)\.|(?<=weg)|(?<=WEG)|(?<=gasse)|(?<=GASSE)|(?<=platz)|(?<=PLATZ)|(?<=allee)|(?<=ALLEE)|(?<=ufer)|(?<=damm)|(?<=ring))[  ]\d{{1,4}}(?:[  ]?[a-zA-Z])?(?!\w)(?:,[  ](?:Whg|Wohnung|WHG|WOHNUNG)\.?[  ]\d+\b)?"
+    rf"|\d{{1,4}}(?:[  ]?(?:bis|ter|BIS|TER))?,?[  ](?:rue|avenue|boulevard|chemin|place|allée|quai|impasse|RUE|AVENUE|BOULEVARD|CHEMIN|PLACE|ALLÉE|QUAI|IMPASSE)[  ](?:(?:de[  ]la|de[  ]l['’]|des|du|de|d['’]|DE[  ]LA|DES|DU|DE)[  ]?)?(?P<rue>[^\W\da-z_]{_WORD})(?:,[  ](?:appt|apt|APPT|APT)\.?[  ]\d+\b)?"
+    rf"|(?:Calle|Avenida|Plaza|Paseo|Camino|CALLE|AVENIDA|PLAZA|PASEO|CAMINO|C/)[  ]?(?:(?:de[  ]la|de[  ]los|del|de|DE[  ]LA|DEL|DE)[  ])?(?P<calle>[^\W\da-z_]{_WORD}),?[  ](?:n\.?º[  ]?)?\d{{1,4}}[a-zA-Z]?\b(?:,[  ]\d+\.?º[  ]?[A-Za-z]?\b)?"
     r")"
 )
 
@@ -199,6 +199,8 @@ def details(text: str | None, lexicon: Lexicon) -> list[tuple[str, int, int]]:
 FEMALE = ("Alva", "Berit", "Carla", "Dora", "Edda", "Fiona", "Greta", "Hanna", "Ines", "Jana", "Klara", "Lene", "Mara", "Nora", "Olga", "Petra", "Rosa", "Signe", "Thea", "Vera")
 MALE = ("Anton", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Max", "Nils", "Otto", "Paul", "Rolf", "Simon", "Theo", "Viktor")
 FAMILIES = ("Ahlberg", "Brandt", "Colman", "Dahl", "Ebner", "Falk", "Gruber", "Holm", "Irving", "Jansen", "Keller", "Lund", "Moreau", "Novak", "Ortega", "Parker", "Quist", "Rossi", "Serrano", "Thorne", "Ullman", "Vidal", "Weber", "Zeller")
+_WHICH = ("North", "South", "East", "West", "Old", "New", "Upper", "Lower", "Great")
+_STREET_END = re.compile(r"(?:straße|strasse|str|weg|gasse|platz|allee|ufer|damm|ring)$", re.IGNORECASE)
 _SHE = re.compile(r"(?:\bfrau|\bmrs\.?|\bms\.?|\bmme|\bmlle|madame|se[ñn]ora|\bsra\.)\s*$", re.IGNORECASE)
 _HE = re.compile(r"(?:\bherrn?|\bmr\.?|monsieur|se[ñn]or|\bsr\.)\s*$", re.IGNORECASE)
 
@@ -220,6 +222,27 @@ def canonical(kind: str, found: str) -> str:
     return " ".join(fold(w) for w in found.split())
 
 
+def _street(found: str, pick: Iterator[int]) -> str:
+    """An address with another street name and other digits; types, particles and the unit's label stay, as they name nobody."""
+    m = ADDRESS.fullmatch(found)
+    spans = {k: m.span(k) for k in m.groupdict() if m[k] is not None} if m else {str(x.start()): x.span() for x in re.finditer(_WORD, found)}
+    if "strasse" in spans:
+        spans["strasse"] = (spans["strasse"][0], _STREET_END.search(found, *spans["strasse"]).start())
+    out, at = [], 0
+    for k, (a, b) in sorted(spans.items(), key=lambda x: x[1]):
+        old = fold(found[a:b])
+        if k == "which":
+            new = [w for w in _WHICH if fold(w) != old][next(pick) % (len(_WHICH) - 1)]
+        else:
+            word = [w for w in FAMILIES if fold(w) != old][next(pick) % (len(FAMILIES) - 1)]
+            new = word + chr(97 + next(pick) % 26) + "aeiou"[next(pick) % 5] if a < b else ""
+        out += [found[at:a], new.upper() if found[a:b].isupper() else new]
+        at = b
+    # digits are replaced between the new words
+    out = [re.sub(r"\d", lambda _: str(1 + next(pick) % 9), x) for x in [*out, found[at:]]]
+    return "".join(out)
+
+
 def surrogate(kind: str, found: str, key: bytes, step: int, gender: str = "") -> str:
     """A replacement of the same form, the same for the same canonical form, key and step."""
     digest = hmac.new(key, f"{kind}|{canonical(kind, found)}|{step}".encode(), hashlib.sha256).digest()
@@ -241,7 +264,7 @@ def surrogate(kind: str, found: str, key: bytes, step: int, gender: str = "") ->
         local = "".join(chr(97 + next(pick) % 26) if c.isalpha() else str(next(pick) % 10) if c.isdigit() else c for c in re.split(r"@|\s?[(\[{<]|\s", found)[0])
         return f"{local}@mail.example"
     if kind == "address":
-        return re.sub(r"\d", lambda m: str(1 + next(pick) % 9), re.sub(r"(?<![\w])[^\W\da-z_](?:[^\W\d_]){3,}(?=\W)", lambda m: FAMILIES[next(pick) % len(FAMILIES)], found, count=1))
+        return _street(found, pick)
     out = []
     for i, c in enumerate(found):
         if c.isdigit() and not (kind == "phone" and i < 3 and found[0] in "+0("):
