@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 from itertools import groupby
 
 import numpy as np
@@ -283,6 +284,32 @@ def test_surrogates_are_distinct_and_stable():
     assert len(set(phones)) == 2 and all(p.startswith("+1 ") and len(p) == 15 for p in phones)
 
 
+def test_people_of_one_initial_are_told_apart():
+    lex = personal.Lexicon(["Hosyl Gesepova", "Hejek Gesepova", "Remax Krasova", "Иван Петров", "Ирина Петров", "Άννα Παππά", "محمد علي"])
+    names = lambda text: [x.split("]")[0] for x in personal.redacted(text, lex, b"k").split("[name: ")[1:]]
+    a, b, c, d = names("cc Hosyl Gesepova, please. cc Hejek Gesepova, please. cc H. Gesepova, please. cc GESEPOVA, HOSYL, please.")
+    assert len({a.split()[-1], b.split()[-1], c.split()[-1]}) == 3 and d == ", ".join(reversed(a.upper().split()))
+    assert names("cc H. Gesepova, please") == [c] and names("cc Hejek Gesepova, please") == [b]
+    full, bare = names("cc Remax Krasova, please")[0].split(), names("cc R. Krasova, please")[0].split()
+    assert bare == [full[0][0] + ".", full[1]]
+    for text, script in (("cc Иван Петров, please", "CYRILLIC"), ("cc Ирина Петров, please", "CYRILLIC"), ("cc Άννα Παππά, please", "GREEK"), ("cc محمد علي, please", "ARABIC"), ("cc Remax Krasova, please", "LATIN")):
+        (new,) = names(text)
+        assert {unicodedata.name(c).split()[0] for c in new if c.isalpha()} == {script} and new not in text
+    assert names("Frau Ирина Петров, cc Иван Петров, please")[0].split()[0] in personal.POOLS["CYRILLIC"][0]
+
+
+def test_a_person_has_one_gender_in_all_documents(spark):
+    people = [f"{g}{x} Zor{x}mar" for g, x in zip(["Pa", "Re", "Ti", "Ku", "Mu"] * 4, "bdfghjklmnpqrstvwxyz")]
+    texts = [f"Frau {n} said no." for n in people] + [f"cc {n}, please." for n in people] * 2 + [f"Herr {people[0]} said no."] * 3 + [None]
+    df = spark.createDataFrame([(k if k else None, t, "s", None, None) for k, t in enumerate(texts)], DOC)
+    roster = spark.createDataFrame([("a", n, "t") for n in people], ROSTER)
+    clean = {r.doc_id: r.text for r in personal.redact(df, roster).collect()}
+    assert len(clean) == len(texts)
+    new = [clean[k or None].split("[name: ")[1].split("]")[0] for k in range(60)]
+    assert new[:20] == new[20:40] == new[40:] and len(set(new)) == 20
+    assert new[0].split()[0] in personal.MALE and all(x.split()[0] in personal.FEMALE for x in new[1:20])
+
+
 def test_no_street_name_survives():
     lex = personal.Lexicon([])
     forms = {

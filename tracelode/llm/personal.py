@@ -7,9 +7,11 @@ overlap are settled by kind: mail, id, address, phone, name.
 
 Surrogate generation: a detail's canonical form (a name's order, case and accents, a number's separators do not count)
 is keyed with HMAC, and the digest picks a replacement of the same type and form: digits for digits, capitals for
-capitals, the given name from a list of the gender that a title tells, the script of the original. Within a text,
-different details never share a surrogate (the key is stepped on until none collides) and the same detail, also a name
-by its initial, always has the same one, over the whole corpus too.
+capitals, the script of the original. A person is the full given and family name; an initial stands for the person whom
+the roster and the text's full names leave as the only one, else for itself. A person's gender is what most of the titles
+before that name in the whole corpus tell, and the given name is from its list; without titles, or with as many of each,
+from both lists. Within a text, different details never share a surrogate (the key is stepped on until none collides),
+and the same detail has the same one over the whole corpus, except where such a collision stepped one of them on.
 
 The roster is broadcast after a check of its size; without it, or with one that is too large, contexts decide alone and
 the roster's words are joined in as stated in `lexicon`.
@@ -26,12 +28,14 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.session import spread
+from tracelode.session import spread, stored
 
 MAX_ROSTER = 200_000
 
@@ -117,6 +121,11 @@ class Lexicon:
         parts = [[fold(x) for x in re.split(r"\s+", n.strip()) if x] for n in names if n and n.strip()]
         self.given = frozenset(p[0] for p in parts if len(p) > 1)
         self.family = frozenset(p[-1] for p in parts)
+        #: Given names of the known people by initial and family name.
+        self.people: dict[tuple[str, str], set[str]] = {}
+        for p in parts:
+            if len(p) > 1:
+                self.people.setdefault((p[0][:1], p[-1]), set()).add(p[0])
         ends = Counter(f[-k:] for f in self.family for k in (2, 3, 4) if len(f) > k + 2)
         self.endings = tuple(e for e, n in ends.items() if n >= max(least, len(self.family) // 60))
 
@@ -199,12 +208,34 @@ def details(text: str | None, lexicon: Lexicon) -> list[tuple[str, int, int]]:
 FEMALE = ("Alva", "Berit", "Carla", "Dora", "Edda", "Fiona", "Greta", "Hanna", "Ines", "Jana", "Klara", "Lene", "Mara", "Nora", "Olga", "Petra", "Rosa", "Signe", "Thea", "Vera")
 MALE = ("Anton", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Max", "Nils", "Otto", "Paul", "Rolf", "Simon", "Theo", "Viktor")
 FAMILIES = ("Ahlberg", "Brandt", "Colman", "Dahl", "Ebner", "Falk", "Gruber", "Holm", "Irving", "Jansen", "Keller", "Lund", "Moreau", "Novak", "Ortega", "Parker", "Quist", "Rossi", "Serrano", "Thorne", "Ullman", "Vidal", "Weber", "Zeller")
+#: By script: given names of women and men, beginnings of family names, consonants and vowels of their ends.
+POOLS = {
+    "LATIN": (FEMALE, MALE, FAMILIES, "bcdfghjklmnprstvwxz", "aeiou"),
+    "CYRILLIC": (
+        ("Алла", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "София", "Тамара"),
+        ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Иван", "Кирилл", "Лев", "Максим", "Олег", "Павел", "Роман", "Степан", "Тимур"),
+        ("Бонд", "Верх", "Град", "Долг", "Заб", "Колт", "Луг", "Мороз", "Новак", "Орл", "Рост", "Сад", "Тарас", "Холм", "Черн", "Шевч"), "бвгджзклмнпрстфх", "аеиоу",
+    ),
+    "GREEK": (
+        ("Αγγελική", "Βέρα", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Κατερίνα", "Λυδία", "Μαρία", "Νίκη", "Όλγα", "Σοφία"),
+        ("Αντώνης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θωμάς", "Κώστας", "Λουκάς", "Μάρκος", "Νίκος", "Παύλος", "Στέφανος"),
+        ("Αλεξ", "Βασ", "Γαλαν", "Δημ", "Ζαφ", "Θεοδ", "Καρ", "Λαμπρ", "Μαυρ", "Νικολ", "Παππ", "Σταμ"), "βγδζθκλμνπρστφχ", "αεηιο",
+    ),
+}
 _WHICH = ("North", "South", "East", "West", "Old", "New", "Upper", "Lower", "Great")
 _STREET_END = re.compile(r"(?:straße|strasse|str|weg|gasse|platz|allee|ufer|damm|ring)$", re.IGNORECASE)
 _SHE = re.compile(r"(?:\bfrau|\bmrs\.?|\bms\.?|\bmme|\bmlle|madame|se[ñn]ora|\bsra\.)\s*$", re.IGNORECASE)
 _HE = re.compile(r"(?:\bherrn?|\bmr\.?|monsieur|se[ñn]or|\bsr\.)\s*$", re.IGNORECASE)
 
 
+@cache
+def _letters(script: str) -> list[str]:
+    """Letters of a script that has no pools, lower ones where it has cases."""
+    start = 0x4E00 if script == "CJK" else 0x370
+    own = (c for c in map(chr, range(start, 0x20000)) if unicodedata.category(c) in ("Lo", "Ll") and unicodedata.name(c, "").split(" ")[0] == script)
+    return list(islice(own, 64)) or list("abcdefghijklmnopqrstuvwxyz")
+
+
 def canonical(kind: str, found: str) -> str:
     """What makes two spellings the same detail."""
     if kind == "name":
@@ -212,8 +243,8 @@ def canonical(kind: str, found: str) -> str:
         if "," in found:
             words = words[1:] + words[:1]
         full = [fold(w) for w in words if not w.endswith(".")]
-        initial = fold(words[0])[:1]
-        return f"{initial}|{full[-1] if full else ''}"
+        given = fold(words[0])
+        return f"{given[:1] + '.' if given.endswith('.') else given}|{full[-1] if full else ''}"
     if kind in ("phone", "id_number"):
         return "".join(c for c in found.upper() if c.isalnum())
     if kind == "email":
@@ -243,16 +274,44 @@ def _street(found: str, pick: Iterator[int]) -> str:
     return "".join(out)
 
 
-def surrogate(kind: str, found: str, key: bytes, step: int, gender: str = "") -> str:
-    """A replacement of the same form, the same for the same canonical form, key and step."""
-    digest = hmac.new(key, f"{kind}|{canonical(kind, found)}|{step}".encode(), hashlib.sha256).digest()
+def identities(text: str, spans: list[tuple[str, int, int]], lexicon: Lexicon) -> list[str]:
+    """Whom or what each detail of a text means: its canonical form, an initial resolved where one person only can be meant."""
+    own = [canonical(k, text[a:b]) for k, a, b in spans]
+    here: dict[tuple[str, str], set[str]] = {}
+    for (kind, _, _), who in zip(spans, own):
+        given, _, family = who.partition("|")
+        if kind == "name" and not given.endswith("."):
+            here.setdefault((given[:1], family), set()).add(given)
+    for k, ((kind, _, _), who) in enumerate(zip(spans, own)):
+        given, _, family = who.partition("|")
+        if kind == "name" and given.endswith("."):
+            meant = here.get((given[:1], family), set()) | lexicon.people.get((given[:1], family), set())
+            if len(meant) == 1:
+                own[k] = f"{min(meant)}|{family}"
+    return own
+
+
+def title_gender(text: str, start: int) -> str:
+    """f or m as the title before a name tells, else empty."""
+    return "f" if _SHE.search(text, max(0, start - 12), start) else "m" if _HE.search(text, max(0, start - 12), start) else ""
+
+
+def surrogate(kind: str, found: str, key: bytes, step: int, gender: str = "", who: str | None = None) -> str:
+    """A replacement of the same form, the same for the same identity (else canonical form), key and step."""
+    who = canonical(kind, found) if who is None else who
+    digest = hmac.new(key, f"{kind}|{who}|{step}".encode(), hashlib.sha256).digest()
     pick = iter(digest * (1 + len(found) // 16))
     if kind == "name":
-        pool = FEMALE if gender == "f" else MALE if gender == "m" else FEMALE + MALE
-        given = pool[(digest[0] * 256 + digest[1]) % len(pool)]
-        family = FAMILIES[(digest[2] * 256 + digest[3]) % len(FAMILIES)]
-        suffix = chr(97 + digest[4] % 26) + "aeiou"[digest[5] % 5]
-        family = family + suffix
+        script = unicodedata.name(who.partition("|")[2][:1] or found[0], "LATIN").split(" ")[0]
+        if script in POOLS:
+            female, male, families, consonants, vowels = POOLS[script]
+            pool = female if gender == "f" else male if gender == "m" else female + male
+            given = pool[(digest[0] * 256 + digest[1]) % len(pool)]
+            ends = zip(digest[4:12:2], digest[5:12:2])
+            family = families[(digest[2] * 256 + digest[3]) % len(families)] + "".join(consonants[x % len(consonants)] + vowels[y % len(vowels)] for x, y in ends)
+        else:
+            letters = _letters(script)
+            given, family = ("".join(letters[x % len(letters)] for x in part).capitalize() for part in (digest[:4], digest[4:11]))
         if found.isupper():
             given, family = given.upper(), family.upper()
         words = [w for w in re.split(r"[\s,]+", found) if w]
@@ -276,24 +335,27 @@ def surrogate(kind: str, found: str, key: bytes, step: int, gender: str = "") ->
     return "".join(out)
 
 
-def redacted(text: str | None, lexicon: Lexicon, key: bytes) -> str | None:
-    """The text with every detail replaced by `[kind: surrogate]`."""
+def redacted(text: str | None, lexicon: Lexicon, key: bytes, genders: dict[str, str] | None = None, spans: list[tuple[str, int, int]] | None = None) -> str | None:
+    """The text with every detail replaced by `[kind: surrogate]`; without the people's genders, the text's own titles tell them."""
     if not text:
         return text
-    spans = details(text, lexicon)
+    spans = details(text, lexicon) if spans is None else spans
+    own = identities(text, spans, lexicon)
+    if genders is None:
+        told = Counter((who, g) for (kind, a, _), who in zip(spans, own) if kind == "name" and (g := title_gender(text, a)))
+        genders = {who: "f" if told[who, "f"] > told[who, "m"] else "m" for who, _ in told if told[who, "f"] != told[who, "m"]}
     given: dict[tuple[str, str], int] = {}
-    used: dict[str, tuple[str, str]] = {}
-    genders: dict[tuple[str, str], str] = {}
-    for kind, a, b in spans:
-        if kind == "name" and (g := "f" if _SHE.search(text, max(0, a - 12), a) else "m" if _HE.search(text, max(0, a - 12), a) else ""):
-            genders[(kind, canonical(kind, text[a:b]))] = g
+    used: dict[tuple[str, str], tuple[str, str]] = {}
     out, at = [], 0
-    for kind, a, b in spans:
-        who = (kind, canonical(kind, text[a:b]))
+    for (kind, a, b), meant in zip(spans, own):
+        who = (kind, meant)
         step = given.get(who, 0)
         while True:
-            new = surrogate(kind, text[a:b], key, step, genders.get(who, ""))
-            if used.setdefault(canonical(kind, new) + kind, who) == who and canonical(kind, new) != who[1]:
+            new = surrogate(kind, text[a:b], key, step, genders.get(meant, ""), meant)
+            form = canonical(kind, new)
+            if kind == "name":  # an initial with the family name must tell people apart as well
+                form = form[:1] + "|" + form.partition("|")[2]
+            if used.setdefault((kind, form), who) == who and canonical(kind, new) != meant:
                 break
             step += 1
         given[who] = step
@@ -324,12 +386,38 @@ def find_details(docs: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, roster: DataFrame, key: str = "tracelode") -> DataFrame:
-    """doc_id, text with placeholders."""
+    """doc_id, text with placeholders.
+
+    Details are found once and written to the shared folder; the titles before each person's names are counted over all
+    documents, and each document gets the genders of its own people by joins, so no list of people is collected.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(roster))
+    detail, person = (pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())]), pa.struct([("person", pa.string()), ("gender", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redacted(t, known, key.encode()) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
-
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id LONG, text STRING")
+        for batch in batches:
+            spans = [details(t, known) for t in batch.column(1).to_pylist()]
+            people = [
+                [{"person": who, "gender": title_gender(t, a)} for (kind, a, _), who in zip(found, identities(t, found, known)) if kind == "name"] if found else []
+                for t, found in zip(batch.column(1).to_pylist(), spans)
+            ]
+            spans = [[{"kind": k, "a": a, "b": b} for k, a, b in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(detail)), pa.array(people, pa.list_(person))], names=["doc_id", "text", "spans", "people"])
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            texts = [
+                redacted(t, known, key.encode(), {g["person"]: g["gender"] for g in genders or ()}, [(x["kind"], x["a"], x["b"]) for x in spans])
+                for t, spans, genders in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    schema = "doc_id LONG, text STRING, spans ARRAY<STRUCT<kind: STRING, a: INT, b: INT>>, people ARRAY<STRUCT<person: STRING, gender: STRING>>"
+    found = stored(spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(find, schema), "details")
+    named = found.select("doc_id", F.explode("people").alias("p")).select("doc_id", "p.person", "p.gender")
+    told = named.filter("gender <> ''").groupBy("person").agg(F.sum(F.when(F.col("gender") == "f", 1).otherwise(-1)).alias("n"))
+    told = told.filter("n <> 0").select("person", F.when(F.col("n") > 0, "f").otherwise("m").alias("gender"))
+    of_doc = named.select("doc_id", "person").distinct().join(told, "person").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("person", "gender")).alias("genders"))
+    return found.join(of_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "spans", "genders").mapInArrow(replace, "doc_id LONG, text STRING")
