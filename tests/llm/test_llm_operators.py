@@ -232,6 +232,34 @@ def test_leaks(spark):
     assert leaks.leaked_items(df, it.limit(0)).count() == 0 and leaks.leaked_items(df.limit(0), it).count() == 0
 
 
+def test_leaks_beside_better_alignments_that_fail(spark):
+    rnd = random.Random(8)
+    words = lambda n: ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(n)]
+    shared = " ".join(words(34)).capitalize() + "."
+    own = {i: [words(75), words(40)] for i in range(30)}
+    items = [(i, "t", "test", " ".join(a).capitalize() + ". " + shared + " " + " ".join(b).capitalize() + ".") for i, (a, b) in own.items()]
+    a = lambda i: own[i][0]
+    docs = [
+        (1, a(1)[:20] + a(1)[36:56]),  # two exact passages, 16 words left out between them
+        (2, a(2)[:30] + a(2)[55:75] + words(5)), (3, a(3)[:30] + a(3)[52:75] + words(9)),
+        (4, own[4][1][:20] + words(30) + shared.split()),  # an own passage and a longer common sentence
+        (5, shared.split() + words(24) + a(5)[10:30]), (6, shared.split()), (7, a(7)[:10] + a(7)[40:50] + shared.split()),
+        (8, [x if k % 2 else "zz" for k, x in enumerate(a(8)[:70])]), (9, a(9)[:12] + words(30) + a(9)[40:52]), (10, a(10)[:12] + words(3) + own[11][1][:12]),
+    ]
+    df = spark.createDataFrame([(d, " ".join(x), "s", None, None) for d, x in docs], DOC)
+    got = {tuple(r) for r in leaks.leaked_items(df, spark.createDataFrame(items, ITEM)).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)}
+
+
+def test_stretches_are_all_tried():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rnd.integers(1, 60))
+        hit, weight = (rnd.random(n) < rnd.choice([0.5, 0.7, 0.8])).astype(float), rnd.random(n)
+        want = any(hit[x:y].sum() >= 0.75 * (y - x) - 1e-9 and (hit * weight)[x:y].sum() >= 0.65 * weight[x:y].sum() - 1e-9 for x in range(n) for y in range(x + 20, n + 1))
+        assert leaks.holds(hit, weight, 20, 0.75, 0.65) == want
+
+
 def test_wand_finds_what_exhaustive_scoring_finds():
     rnd = random.Random(1)
     vocab = [f"v{i}" for i in range(300)]

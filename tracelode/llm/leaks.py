@@ -7,7 +7,8 @@ with their three best words lost, so the threshold is 1 for all items, and no pa
 of twenty words, or of more that are not all the best ones.
 Retrieved pairs are verified by a local word alignment: at least `min_words` words of the item in one passage, of which
 at least `min_match` stand there unchanged, and with them at least `min_weight` of the passage's inverse document
-frequency: sentences of one pattern about other things share the pattern's words, not those.
+frequency: sentences of one pattern about other things share the pattern's words, not those. All stretches of an alignment
+are tested, and what it left is aligned again until the own words left are too few (`verified`).
 
 The index is broadcast in blocks of at most `block_items` items; a larger benchmark takes one pass over the corpus a
 block. Sentences that several items share are found with a distributed count over all items.
@@ -155,28 +156,74 @@ class ItemIndex:
         return found
 
 
-def aligned(doc: np.ndarray, item: np.ndarray, own: np.ndarray, weight: np.ndarray) -> tuple[int, int, float, float]:
-    """Best local alignment of two lists of word codes: own words of the item in it, those unchanged, and their weights."""
+def aligned(doc: np.ndarray, item: np.ndarray, credit: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Best local alignment of two lists of word codes, where a match of an item's word scores its `credit` and all else -1:
+    the item's part from and to, and the positions in the item and in the document of the words that match."""
     n, m = len(doc), len(item)
     score = np.zeros((n + 1, m + 1), dtype=np.float32)
     ramp = np.arange(m + 1, dtype=np.float32)
     for i in range(1, n + 1):
         t = np.zeros(m + 1, dtype=np.float32)
-        t[1:] = np.maximum(np.maximum(score[i - 1, :-1] + np.where(item == doc[i - 1], 1, -1), score[i - 1, 1:] - 1), 0)
+        t[1:] = np.maximum(np.maximum(score[i - 1, :-1] + np.where(item == doc[i - 1], credit, -1), score[i - 1, 1:] - 1), 0)
         score[i] = np.maximum.accumulate(t + ramp) - ramp
     i, j = np.unravel_index(int(np.argmax(score)), score.shape)
-    stop, same, heavy = j, 0, 0.0
+    stop, matches = int(j), []
     while i > 0 and j > 0 and score[i, j] > 0:
         s = score[i, j]
-        if s == score[i - 1, j - 1] + (1 if item[j - 1] == doc[i - 1] else -1):
-            if item[j - 1] == doc[i - 1] and own[j - 1]:
-                same, heavy = same + 1, heavy + float(weight[j - 1])
+        if s == score[i - 1, j - 1] + (credit[j - 1] if item[j - 1] == doc[i - 1] else -1):
+            if item[j - 1] == doc[i - 1]:
+                matches.append((j - 1, i - 1))
             i, j = i - 1, j - 1
         elif s == score[i - 1, j] - 1:
             i -= 1
         else:
             j -= 1
-    return int(own[j:stop].sum()), same, float(weight[j:stop][own[j:stop]].sum()), heavy
+    at = np.array(matches, dtype=np.int64).reshape(-1, 2)
+    return int(j), stop, at[:, 0], at[:, 1]
+
+
+def holds(hit: np.ndarray, weight: np.ndarray, min_words: int, min_match: float, min_weight: float) -> bool:
+    """Whether any stretch of at least `min_words` words has enough of them unchanged, by number and by weight."""
+    if len(hit) < min_words or hit.sum() < min_match * min_words:
+        return False
+    number = np.concatenate(([0.0], np.cumsum(hit - min_match)))
+    heavy = np.concatenate(([0.0], np.cumsum(weight * (hit - min_weight))))
+    if number[-1] >= -1e-9 and heavy[-1] >= -1e-9:
+        return True
+    for a in range(0, len(hit) + 1 - min_words, 256):  # starts by blocks: the ends of each lie min_words behind it or more
+        low, high = slice(a, min(a + 256, len(hit) + 1 - min_words)), slice(a + min_words, None)
+        if np.triu((number[None, high] - number[low, None] >= -1e-9) & (heavy[None, high] - heavy[low, None] >= -1e-9)).any():
+            return True
+    return False
+
+
+def verified(part: np.ndarray, item: np.ndarray, own: np.ndarray, weight: np.ndarray, least: float, min_words: int, min_match: float, min_weight: float) -> bool:
+    """Whether a part of a document holds a passage of an item's own words.
+
+    Every alignment is tested with all its stretches. One that fails has the document's words that it matched masked, and
+    the rest is aligned again, as long as the own words left could be enough. Words that other items share score first as
+    the own ones, so that they join what stands around them, and then nothing, so that they can't outdo own words.
+    """
+    mine = item[own]
+    have = np.bincount(mine, minlength=int(item.max()) + 1)
+    price = np.zeros(len(have))
+    price[mine] = weight[own]
+    for credit in [np.ones(len(item), dtype=np.float32)] + ([] if own.all() else [own.astype(np.float32)]):
+        doc = part.copy()
+        while True:
+            shared = np.minimum(np.bincount(doc[doc >= 0], minlength=len(have)), have)
+            if shared.sum() < min_match * min_words or (shared * price).sum() < min_weight * least - 1e-9:
+                break
+            start, stop, in_item, in_doc = aligned(doc, item, credit)
+            if not len(in_doc):
+                break
+            hit = np.zeros(len(item))
+            hit[in_item] = 1
+            flags = own[start:stop]
+            if holds(hit[start:stop][flags], weight[start:stop][flags], min_words, min_match, min_weight):
+                return True
+            doc[in_doc] = -1
+    return False
 
 
 def _leaks_of(words: list[str], index: ItemIndex, full: dict[int, tuple[list[str], list[bool]]], min_words: int, min_match: float, min_weight: float, width: int) -> list[int]:
@@ -213,8 +260,7 @@ def _leaks_of(words: list[str], index: ItemIndex, full: dict[int, tuple[list[str
         for a, b in stretch:
             here = words[max(0, a - step) : b + step]
             part = np.array([ids.get(w, -1) for w in here])
-            span, same, total, heavy = aligned(part, item_codes, flags, weight)
-            if span >= min_words and same >= min_match * span and heavy >= min_weight * total:
+            if verified(part, item_codes, flags, weight, index.least[k], min_words, min_match, min_weight):
                 out.append(index.ids[k])
                 break
     return out
