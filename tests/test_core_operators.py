@@ -102,6 +102,16 @@ def test_schema_changes(spark):
     assert got == [("f3", "agent_id", "renamed"), ("f3", "gone", "removed"), ("f3", "list", "added"), ("f3", "n", "retyped")]
 
 
+def test_profiles_read_whole_texts(spark):
+    head = " ".join(f"word{'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(60))
+    for filler in (head, head + " " + "x" * 2500):  # behind the 40th word, the 200th and the 2,000th character
+        text = lambda words, i: f"{filler}\n" + "".join(f"{w} = {i + k};\n" for k, w in enumerate(words.split() * 9))
+        ours, theirs = (lambda i: text("felo drun kotu", i)), (lambda i: text("mira <sapo> (lenu) vako", i))
+        old = [json.dumps({"id": "x", "out": ours(i)}) for i in range(5)]
+        new = [json.dumps({"id": "x", "aa": theirs(i), "bb": ours(i)}) for i in range(5)]
+        assert drift(spark, [(1, old), (2, new)]) == [("f2", "aa", "added"), ("f2", "bb", "renamed")]
+
+
 def test_schema_share_of_a_tenth(spark):
     base = [json.dumps({"id": "x"})] * 20
     rare, tenth = json.dumps({"id": "x", "stray": 1}), json.dumps({"id": "x", "field": 1})

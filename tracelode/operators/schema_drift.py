@@ -6,7 +6,7 @@ ones, and those of another type that can be cast) are promoted afterwards: their
 typed columns, and what can't be cast stays rescued.
 
 The change report profiles each file from what ingestion made of it: how many records carry a path, as which type, and a
-fixed number of counters of the content (hashed shapes, leading words and words of strings, magnitudes of numbers).
+fixed number of counters of the content (hashed shapes, leading words and words of whole strings, magnitudes of numbers).
 Counters are summed per (file, path, counter) before and in the shuffle, so neither a hot client nor a hot file meets in one
 task; a file is then compared with its client's preceding one. A removed path whose content goes on under an added one is
 a rename.
@@ -156,18 +156,22 @@ def _bucket(text: str) -> int:
 
 
 def _shape(text: str) -> str:
-    t = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text[:200]))
-    return re.sub(r"(?:a[ .,;:'-]*){5,}", "A", t)[:60]
+    t = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text))
+    return re.sub(r"(?:a[ .,;:'-]*){5,}", "A", t)
 
 
-@lru_cache(maxsize=1 << 16)
-def _string_counters(x: str) -> tuple[int, ...]:
-    plain = _HEX.sub("\u0001", x[:2000])
+def _counters(x: str) -> tuple[int, ...]:
+    """Of a whole string: the shapes of its lines in pieces of 60 characters, its leading word with what follows, and all its words."""
+    plain = _HEX.sub("\u0001", x)
     lead = re.match(r"[^\W\d_]+", plain)
-    shape = _shape(plain)
-    tail = _shape(plain[lead.end() : lead.end() + 60]) if lead else shape
-    words = [_WORDS + _bucket(re.sub(r"\d+", "9", w.lower())) for w in _WORD.findall(plain)[:40]]
-    return (_SHAPE + 10 + _bucket(shape), _LEAD + _bucket((lead[0] if lead else "") + tail[:12]), *words)
+    shapes = [shape[i : i + 60] for line in plain.split("\n") for shape in (_shape(line),) for i in range(0, max(1, len(shape)), 60)]
+    tail = _shape(plain[lead.end() : lead.end() + 60]) if lead else _shape(plain[:200])
+    words = [_WORDS + _bucket(re.sub(r"\d+", "9", w.lower())) for w in _WORD.findall(plain)]
+    return (*(_SHAPE + 10 + _bucket(x) for x in shapes), _LEAD + _bucket((lead[0] if lead else "") + tail[:12]), *words)
+
+
+#: For short strings, which often come again; long ones would fill the memory.
+_short_counters = lru_cache(maxsize=1 << 16)(_counters)
 
 
 def content_counters(v: object) -> Iterator[int]:
@@ -183,7 +187,7 @@ def content_counters(v: object) -> Iterator[int]:
     else:
         for x in v if isinstance(v, list) else [v]:
             if isinstance(x, str):
-                yield from _string_counters(x) if len(x) <= 2000 else _string_counters(x[:2000])
+                yield from _short_counters(x) if len(x) <= 2000 else _counters(x)
             elif x is not None:
                 yield _SHAPE + 4
 
