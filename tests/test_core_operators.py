@@ -41,6 +41,16 @@ def test_text_functions(spark):
     assert one(spark, text.bounded_terms, ["a", "a"], "array<string>") == ["a", "a"]
 
 
+def test_path_counts_has_all_paths(spark, tmp_path):
+    from tracelode.plans import catalog
+
+    docs = [(1, " ".join(f"src/d{i}/f.py" for i in range(1500))), (2, "src/d1499/f.py")]
+    cols = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame([(*d, "en", "s") for d in docs], cols).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.path: r.documents for r in catalog.queries()["path_counts"](spark, str(tmp_path)).collect()}
+    assert len(got) == 1500 and got["src/d1499/f.py"] == 2
+
+
 def test_ratios(spark):
     rows = spark.createDataFrame([(0.0, 0.0), (0.0, 5.0), (10.0, 5.0), (4.0, 8.0)], "a double, b double")
     got = rows.select(metrics.relative_reduction(F.col("a"), F.col("b")).alias("r"), metrics.positive_ratio(F.col("a"), F.col("b")).alias("p")).collect()

@@ -30,9 +30,10 @@ def error_signatures(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.transform(lines, lambda x: F.substring(normalize(x), 1, 240))), 1, most)
 
 
-def file_paths(text: Column, most: int = 12) -> Column:
-    """The first distinct file paths."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(PATH), F.lit(0))), 1, most)
+def file_paths(text: Column, most: int | None = 12) -> Column:
+    """The first distinct file paths; all of them without `most`."""
+    paths = F.array_distinct(F.regexp_extract_all(text, F.lit(PATH), F.lit(0)))
+    return paths if most is None else F.slice(paths, 1, most)
 
 
 def tokens(text: Column) -> Column:

@@ -31,7 +31,7 @@ def error_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.explode(T.file_paths(F.col("text"), 1000)).alias("path")).groupBy("path").agg(F.count("*").alias("documents"))
+    return _docs(spark, sf).select("doc_id", F.explode(T.file_paths(F.col("text"), None)).alias("path")).groupBy("path").agg(F.count("*").alias("documents"))
 
 
 def term_statistics(spark: SparkSession, sf: str) -> DataFrame:
