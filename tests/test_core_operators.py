@@ -78,10 +78,35 @@ def test_delivery_index(spark, batches):
         rows.append((i, rnd.choice(["t1", None]), rnd.choice(["s", " s "]), rnd.choice([sha, sha.upper()]), at, True, "x", "y"))
     rows.append((1000, "t1", "s", None, None, None, None, None))
     df = spark.createDataFrame(rows, BUNDLE)
-    index = delivery_index.DeliveryIndex(spark, prefix_bits=2, merge_every=2)
+    index = delivery_index.DeliveryIndex(spark, prefix_bits=2, fan=2)
     got = sorted(r[0] for r in delivery_index.surplus_deliveries(df, batches, index).collect())
     assert got == brute_surplus(rows)
-    assert len(index.runs) < 2 or batches < 3
+    assert len(index.runs) == bin(batches).count("1")  # tiers of a fan of two: the binary digits of the number of runs
+
+
+def test_delivery_index_replay_and_reopen(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(i, "t", "s", f"{rnd.randrange(30):064x}", rnd.choice([None, f"2026-01-0{rnd.randrange(1, 9)}T00:00:00Z"]), None, None, None) for i in range(120)]
+    parts = [spark.createDataFrame(rows[i : i + 40], BUNDLE) for i in (0, 40, 80)]
+    seqs = lambda df: sorted(r[0] for r in df.collect())
+    path = str(tmp_path / "index")
+    index = delivery_index.DeliveryIndex(spark, path, prefix_bits=2, fan=2)
+    first = [seqs(index.offer(p)) for p in parts[:2]]
+    index = delivery_index.DeliveryIndex(spark, path, fan=2)  # opened again: bits, runs and verdicts are those it had
+    assert index.bits == 2 and sorted(index.batches) == [0, 1]
+    assert seqs(index.offer(parts[1], 1)) == first[1]
+    last = seqs(index.offer(parts[2]))
+    assert sorted({*first[0], *first[1], *last}) == brute_surplus(rows)
+    again = seqs(index.offer(parts[2], 99))  # the same rows under another number: none of the kept ones is lost
+    kept = set(range(120)) - set(brute_surplus(rows))
+    assert not kept & set(again)
+
+
+def test_delivery_batches_stay_whole(spark):
+    cols = "ingest_seq long, batchId string, teamId string, sessionId string, contentSha256 string, receivedAtUtc string"
+    rows = [(i, None if i % 11 == 0 else f"b{i % 7}", "t", "s", f"{i % 13:064x}", f"2026-01-0{1 + i % 5}T00:00:00Z") for i in range(90)]
+    got = sorted(r[0] for r in delivery_index.surplus_deliveries(spark.createDataFrame(rows, cols), 4).collect())
+    assert got == brute_surplus([(r[0], *r[2:]) for r in rows])
 
 
 def test_delivery_index_empty_and_all_once(spark):
@@ -248,9 +273,15 @@ def test_bundle_stream_sink(spark, tmp_path):
 
     index = delivery_index.DeliveryIndex(spark, prefix_bits=1)
     sink = ingest.bundle_sink(index, str(tmp_path))
-    row = lambda i, at: (i, "t", "s", "aa", at, None, None, None)
-    sink(spark.createDataFrame([row(1, "2026-01-02T00:00:00Z"), row(2, "2026-01-03T00:00:00Z")], BUNDLE), 0)
-    sink(spark.createDataFrame([row(3, "2026-01-01T00:00:00Z")], BUNDLE), 1)
-    kept = [r.ingest_seq for r in spark.read.parquet(f"{tmp_path}/kept").collect()]
+    row = lambda i, at, sha="aa": (i, "t", "s", sha, at, None, None, None)
+    batches = [[row(1, "2026-01-02T00:00:00Z"), row(2, "2026-01-03T00:00:00Z")], [row(3, "2026-01-01T00:00:00Z"), row(4, None, "bb")], [row(5, "2026-01-01T00:00:00Z", "bb")]]
+    kept = lambda: sorted(r.ingest_seq for r in spark.read.parquet(f"{tmp_path}/kept").collect())
+    want = [[1], [3, 4], [3, 5]]
+    for n, rows in enumerate(batches):
+        for _ in range(2):  # every batch is run again, as after a failure
+            sink(spark.createDataFrame(rows, BUNDLE), n)
+            assert kept() == want[n]
+    sink(spark.createDataFrame(batches[0], BUNDLE), 0)
+    assert kept() == [3, 5]
     lost = [r.ingest_seq for r in spark.read.parquet(f"{tmp_path}/surplus").collect()]
-    assert sorted(kept) == [1, 3] and sorted(lost) == [1, 2]  # 3 displaced 1 after it had been kept
+    assert sorted(lost) == [1, 2, 4]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pathlib
 import tempfile
@@ -51,15 +52,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, else (tests, one machine) a temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: `spark.checkpoint.dir`; without it, only a local session gets a temporary one."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tracelode-checkpoints-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
     return folder
 
 
@@ -69,15 +73,42 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+_scratch: dict[str, SparkSession] = {}
+
+
 def scratch_table(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table that an operator writes and reads again."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path in this application's part of the shared folder, for a table that an operator writes and reads again."""
+    root = os.path.join(shared_dir(spark), f"tracelode-{spark.sparkContext.applicationId}")
+    if root not in _scratch:
+        _scratch[root] = spark
+        atexit.register(drop_scratch, spark)
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: for what is read twice and must be the same both times."""
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators wrote for themselves; results that were not read yet go with them."""
+    for root in [r for r, s in _scratch.items() if s is spark]:
+        del _scratch[root]
+        try:
+            fs, where = file_system(spark, root)
+            fs.delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended: its shared folder is left to whoever set it
+            pass
+
+
+def stored(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """`df` written once to the shared folder and read back: for what is read twice and must be the same both times.
+
+    With `partition`, a column of few values, each value has a folder of its own and is read alone.
+    """
     path = scratch_table(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions.instants import instant
 from tracelode.operators.delivery_index import DeliveryIndex
+from tracelode.session import file_system, stored
 from tracelode.sources.jsonl import TRACE_EVENT
 
 
@@ -34,17 +35,33 @@ def failure_windows(events: DataFrame, window: str = "10 minutes", delay: str =
 
 
 def bundle_sink(index: DeliveryIndex, out: str):
-    """foreachBatch function: each batch goes through the delivery index, kept and surplus deliveries are appended apart.
+    """foreachBatch function: each batch goes through the delivery index; `kept` holds exactly one copy of each delivery.
 
-    A batch that is run again after a failure writes to the same folder, over what it wrote.
+    A copy that a later batch displaces leaves the folder of the batch that brought it: the folders concerned are rewritten
+    in the same write as the new one (only those of batches that lost a copy). A batch that is run again after a failure
+    gets the verdict that the index has for its number and writes the same folders again.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        surplus = index.offer(batch).select(F.col("seq").alias("ingest_seq"))
-        surplus.write.mode("overwrite").parquet(f"{out}/surplus/batch={number}")
-        lost = batch.sparkSession.read.parquet(f"{out}/surplus/batch={number}")
-        batch.join(lost, "ingest_seq", "left_anti").write.mode("overwrite").parquet(f"{out}/kept/batch={number}")
-        batch.unpersist()
+        spark = batch.sparkSession
+        batch = stored(batch, f"batch-{number}")
+        lost = index.offer(batch, number).select(F.col("seq").alias("ingest_seq"))
+        lost.write.mode("overwrite").parquet(f"{out}/surplus/batch={number}")
+        gone = lost
+        for later in sorted(n for n in index.batches if n > number):  # an old batch run again: what was displaced since stays away
+            gone = gone.unionByName(index.verdict(later).withColumnRenamed("seq", "ingest_seq"))
+        new = batch.join(gone, "ingest_seq", "left_anti").withColumn("batch", F.lit(number))
+        fs, where = file_system(spark, f"{out}/kept")
+        emptied: list[int] = []
+        if fs.exists(where):
+            kept = spark.read.schema(new.schema).parquet(f"{out}/kept").filter(F.col("batch") != number)
+            touched = [r[0] for r in kept.join(lost, "ingest_seq", "left_semi").select("batch").distinct().toLocalIterator()]
+            if touched:  # batch numbers, not rows
+                rest = stored(kept.filter(F.col("batch").isin(touched)).join(lost, "ingest_seq", "left_anti"), f"rest-{number}")
+                emptied = sorted(set(touched) - {r[0] for r in rest.select("batch").distinct().toLocalIterator()})
+                new = new.unionByName(rest)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/kept")
+        for b in emptied:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/kept/batch={b}"), True)
 
     return sink
