@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 import unicodedata
 from itertools import groupby
 
@@ -228,7 +229,9 @@ def test_leaks(spark):
     it = spark.createDataFrame(items, ITEM)
     got = {tuple(r) for r in leaks.leaked_items(df, it).collect()}
     assert got == {(1, 2), (2, 3), (6, 7), (9, 11), (10, 20), (11, 2)}
-    assert {tuple(r) for r in leaks.leaked_items(df, it, block_items=7).collect()} == got
+    sparse = it.withColumn("item_id", F.col("item_id") * 1_000_003)
+    for words in (7 * 120, 100 * 120):
+        assert {(d, i // 1_000_003) for d, i in leaks.leaked_items(df, sparse, block_words=words).collect()} == got
     assert leaks.leaked_items(df, it.limit(0)).count() == 0 and leaks.leaked_items(df.limit(0), it).count() == 0
 
 
@@ -244,11 +247,12 @@ def test_leaks_beside_better_alignments_that_fail(spark):
         (2, a(2)[:30] + a(2)[55:75] + words(5)), (3, a(3)[:30] + a(3)[52:75] + words(9)),
         (4, own[4][1][:20] + words(30) + shared.split()),  # an own passage and a longer common sentence
         (5, shared.split() + words(24) + a(5)[10:30]), (6, shared.split()), (7, a(7)[:10] + a(7)[40:50] + shared.split()),
+        (11, a(12)[:22] + words(15) + shared.split() + words(15) + own[12][1][:22] + words(15) + shared.split()), (12, a(13)[:24] + shared.split()[:20] + words(6) + own[14][1][5:30]),
         (8, [x if k % 2 else "zz" for k, x in enumerate(a(8)[:70])]), (9, a(9)[:12] + words(30) + a(9)[40:52]), (10, a(10)[:12] + words(3) + own[11][1][:12]),
     ]
     df = spark.createDataFrame([(d, " ".join(x), "s", None, None) for d, x in docs], DOC)
     got = {tuple(r) for r in leaks.leaked_items(df, spark.createDataFrame(items, ITEM)).collect()}
-    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (11, 12), (12, 13), (12, 14)}
 
 
 def test_stretches_are_all_tried():
@@ -264,8 +268,10 @@ def test_wand_finds_what_exhaustive_scoring_finds():
     rnd = random.Random(1)
     vocab = [f"v{i}" for i in range(300)]
     items = {i: [rnd.choice(vocab[: 60 if rnd.random() < 0.5 else 300]) for _ in range(60)] for i in range(120)}
-    index = leaks.ItemIndex(items)
-    for _ in range(200):
+    df = Counter(w for x in items.values() for w in set(x))
+    for k in range(200):
+        if k % 100 == 0:
+            index = leaks.ItemIndex(items, df, len(items), 60.0, blocks=15 if k else 512)
         terms = list({index.term[w] for w in (rnd.choice(vocab) for _ in range(40)) if w in index.term})
         score = np.zeros(len(index.ids))
         for t in terms:

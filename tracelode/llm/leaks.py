@@ -10,8 +10,10 @@ at least `min_match` stand there unchanged, and with them at least `min_weight`
 frequency: sentences of one pattern about other things share the pattern's words, not those. All stretches of an alignment
 are tested, and what it left is aligned again until the own words left are too few (`verified`).
 
-The index is broadcast in blocks of at most `block_items` items; a larger benchmark takes one pass over the corpus a
-block. Sentences that several items share are found with a distributed count over all items.
+Before it is aligned, a retrieved pair is tested with all words that the stretch of the document has of the item: no
+alignment can match more. The index is broadcast in blocks of about `block_words` words of items; a larger benchmark takes
+one pass over the corpus a block. Sentences that several items share, and the statistics behind impacts and thresholds, are
+those of all items, counted in a distributed way, so the rows are the same for any size of the blocks.
 
 Defined results: null and blank texts and items give nothing; items whose own sentences have fewer than `min_words` words
 can't leak; a document that stands twice is reported for each `doc_id`; items with equal texts share all sentences, so
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.session import spread
+from tracelode.session import spread, stored
 
 K1, B = 1.2, 0.75
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
@@ -73,37 +75,36 @@ def own_sentences(items: DataFrame) -> DataFrame:
 
 
 class ItemIndex:
-    """BM25 impacts of a block of items, scaled so that 1 is the threshold of each item."""
-
-    def __init__(self, items: dict[int, list[str]], min_words: int = 20, lost: int = 3, block: int = 8):
-        self.ids = sorted(i for i, w in items.items() if len(w) >= min_words)
-        self.words = {i: items[i] for i in self.ids}
-        counts = [Counter(self.words[i]) for i in self.ids]
-        df = Counter(w for c in counts for w in c)
-        n, mean = len(self.ids), max(1.0, sum(len(self.words[i]) for i in self.ids) / max(1, len(self.ids)))
-        raw: list[dict[str, float]] = []
-        for i, c in zip(self.ids, counts):
-            norm = K1 * (1 - B + B * len(self.words[i]) / mean)
-            raw.append({w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in c.items()})
+    """BM25 impacts of a block of items, scaled so that 1 is the threshold of each item.
+
+    `words` are the items' own words in order; `df`, `n` and `mean` (documents with a word, number and mean length of all
+    items) are those of the whole benchmark, so an item's impacts and threshold don't depend on its block.
+    """
+
+    def __init__(self, words: dict[int, list[str]], df: dict[str, int], n: int, mean: float, min_words: int = 20, lost: int = 3, blocks: int = 512):
+        self.ids = sorted(i for i, w in words.items() if len(w) >= min_words)
         self.idf = {w: float(np.log(1 + (n - x + 0.5) / (x + 0.5))) for w, x in df.items()}
-        #: Of each item: how often it has a word, and the least weight of any `min_words` words of it.
-        self.most = counts
-        self.least = [min(sum(self.idf[w] for w in self.words[i][a : a + min_words]) for a in range(len(self.words[i]) - min_words + 1)) for i in self.ids]
+        #: The least weight of any `min_words` words of each item.
+        self.least: list[float] = []
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for k, (i, impact) in enumerate(zip(self.ids, raw)):
-            seq = self.words[i]
-            least = min(sum(sorted(impact[w] for w in set(seq[a : a + min_words]))[:-lost]) for a in range(len(seq) - min_words + 1))
+        for k, i in enumerate(self.ids):
+            seq = words[i]
+            norm = K1 * (1 - B + B * len(seq) / max(1.0, mean))
+            impact = {w: self.idf[w] * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(seq).items()}
+            windows = range(len(seq) - min_words + 1)
+            self.least.append(min(sum(self.idf[w] for w in seq[a : a + min_words]) for a in windows))
+            least = min(sum(sorted(impact[w] for w in set(seq[a : a + min_words]))[:-lost]) for a in windows)
             for w, x in impact.items():
                 lists[w].append((k, x / max(least, 1e-6)))
         self.term = {w: t for t, w in enumerate(sorted(lists))}
-        self.block, self.blocks = block, max(1, -(-n // block))
-        self.docs: list[list[int]] = [[] for _ in self.term]
-        self.impact: list[list[float]] = [[] for _ in self.term]
+        # Few items make small blocks with sharp maxima; the number of blocks bounds the memory of the maxima.
+        self.block = max(1, -(-len(self.ids) // blocks))
+        self.docs: list[list[int]] = [[k for k, _ in lists[w]] for w in self.term]
+        self.impact: list[list[float]] = [[float(x) for _, x in lists[w]] for w in self.term]
         #: The highest impact of a term in each block of items, and in all.
-        self.tops = np.zeros((len(self.term), self.blocks), dtype=np.float32)
-        for w, t in self.term.items():
-            self.docs[t], self.impact[t] = [k for k, _ in lists[w]], [float(x) for _, x in lists[w]]
-            np.maximum.at(self.tops[t], np.array(self.docs[t]) // block, np.array(self.impact[t], dtype=np.float32))
+        self.tops = np.zeros((len(self.term), max(1, -(-len(self.ids) // self.block))), dtype=np.float32)
+        for t, (docs, impact) in enumerate(zip(self.docs, self.impact)):
+            np.maximum.at(self.tops[t], np.array(docs) // self.block, np.array(impact, dtype=np.float32))
         self.top = self.tops.max(axis=1, initial=0).tolist()
 
     def retrieve(self, terms: list[int]) -> list[int]:
@@ -226,71 +227,100 @@ def verified(part: np.ndarray, item: np.ndarray, own: np.ndarray, weight: np.nda
     return False
 
 
-def _leaks_of(words: list[str], index: ItemIndex, full: dict[int, tuple[list[str], list[bool]]], min_words: int, min_match: float, min_weight: float, width: int) -> list[int]:
-    step = width // 2
+class Block:
+    """What a task needs of a block of items: their index, and their words with those that are shared, as numbers."""
+
+    def __init__(self, full: dict[int, tuple[list[str], list[bool]]], df: dict[str, int], n: int, mean: float, min_words: int):
+        self.index = ItemIndex({i: [w for w, o in zip(*x) if o] for i, x in full.items()}, df, n, mean, min_words)
+        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for i in self.index.ids for w in full[i][0]))}
+        self.term = np.array([self.index.term.get(w, -1) for w in self.vocabulary] + [-1], dtype=np.int64)
+        idf = np.array([self.index.idf.get(w, 0.0) for w in self.vocabulary])
+        self.items = []
+        for i in self.index.ids:
+            codes, own = np.array([self.vocabulary[w] for w in full[i][0]]), np.array(full[i][1])
+            self.items.append((codes, own, idf[codes]))
+
+
+def _leaks_of(words: list[str], block: Block, seen: np.ndarray, min_words: int, min_match: float, min_weight: float, width: int) -> list[int]:
+    """The items of a block that a document holds. `seen` is all false, of the vocabulary's size and one more."""
+    step, index = width // 2, block.index
+    code = np.array([block.vocabulary.get(w, -1) for w in words], dtype=np.int64)
+    term = block.term[code]
     near: dict[int, list[int]] = defaultdict(list)
-    passages: dict[int, Counter] = {}
-    code = [index.term.get(w, -1) for w in words]
     for a in range(0, max(1, len(words) - step), step):
-        terms = list({t for t in code[a : a + width] if t >= 0})
-        if terms:
-            for k in index.retrieve(terms):
+        terms = np.unique(term[a : a + width])
+        terms = terms[terms >= 0]
+        if len(terms):
+            for k in index.retrieve(terms.tolist()):
                 near[k].append(a)
-                if a not in passages:
-                    passages[a] = Counter(words[a : a + width])
     out = []
     for k, starts in near.items():
-        item, own = full[index.ids[k]]
-        ids = {w: x for x, w in enumerate(dict.fromkeys(item))}
-        item_codes, flags = np.array([ids[w] for w in item]), np.array(own)
-        weight = np.array([index.idf.get(w, 0.0) for w in item])
+        item, own, weight = block.items[k]
         stretch: list[list[int]] = []
-        have, idf, enough = index.most[k], index.idf, min_weight * index.least[k]
         for a in starts:  # passages that touch are one stretch
-            shared = 0.0
-            for w, n in passages[a].items():
-                if w in have:
-                    shared += idf[w] * min(n, have[w])
-            if shared < enough:
-                continue  # not even all shared words together would do
             if stretch and a <= stretch[-1][1]:
                 stretch[-1][1] = a + width
             else:
                 stretch.append([a, a + width])
         for a, b in stretch:
-            here = words[max(0, a - step) : b + step]
-            part = np.array([ids.get(w, -1) for w in here])
-            if verified(part, item_codes, flags, weight, index.least[k], min_words, min_match, min_weight):
+            part = code[max(0, a - step) : b + step]
+            # No alignment matches more than all words that the part has at all: what fails with these needs none.
+            seen[part] = True
+            seen[-1] = False
+            there = (seen[item] & own).astype(np.float64)
+            seen[part] = False
+            if there.sum() < min_match * min_words or there @ weight < min_weight * index.least[k] - 1e-9 or not holds(there[own], weight[own], min_words, min_match, min_weight):
+                continue
+            ids, local = np.unique(item, return_inverse=True)
+            at = np.minimum(np.searchsorted(ids, part), len(ids) - 1)
+            if verified(np.where(ids[at] == part, at, -1), local, own, weight, index.least[k], min_words, min_match, min_weight):
                 out.append(index.ids[k])
                 break
     return out
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 20, min_match: float = 0.75, min_weight: float = 0.65, width: int = 48, block_items: int = 2_000) -> DataFrame:
-    """doc_id, item_id of every document that contains at least `min_words` words of an item's own text in a passage."""
-    sents = own_sentences(items)
+def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 20, min_match: float = 0.75, min_weight: float = 0.65, width: int = 48, block_words: int = 400_000) -> DataFrame:
+    """doc_id, item_id of every document that contains at least `min_words` words of an item's own text in a passage.
+
+    `block_words` bounds the words of the items that are broadcast at once (about); the rows don't depend on it.
+    """
     spark = docs.sparkSession
-    ids = sorted(r[0] for r in sents.select(F.floor(F.col("item_id") / block_items)).distinct().toLocalIterator())
+    sents = stored(own_sentences(items), "sentences")
+    # Statistics of the whole benchmark: items that can leak, their own words' number and mean length, and documents by word.
+    lengths = sents.filter("own").groupBy("item_id").agg(F.sum(F.size(F.split("sentence", " "))).alias("n")).filter(F.col("n") >= min_words)
+    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not n:
+        return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id")).limit(0)
+    every = sents.agg(F.sum(F.size(F.split("sentence", " ")))).first()[0]
+    blocks = -(-every // block_words)
+    placed = sents.join(lengths.select("item_id"), "item_id", "left_semi").withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    words = placed.filter("own").select("item_id", "block", F.explode(F.array_distinct(F.split("sentence", " "))).alias("w")).distinct()
+    if blocks > 1:
+        placed = stored(placed, "placed", partition="block")
+        words = stored(words, "item-words")
+    df = words.groupBy("w").agg(F.count("*").alias("df"))
+    texts = spread(docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''"))
     passes: list[DataFrame] = []
-    for b in ids:
+    for b in range(blocks):
         full: dict[int, tuple[list[str], list[bool]]] = {}
-        for r in sorted(sents.filter(F.floor(F.col("item_id") / block_items) == b).collect(), key=lambda r: (r["item_id"], r["at"])):
+        for r in sorted(placed.filter(F.col("block") == b).select("item_id", "at", "sentence", "own").collect(), key=lambda r: (r["item_id"], r["at"])):
             w = r["sentence"].split(" ")
             have = full.setdefault(r["item_id"], ([], []))
             have[0].extend(w)
             have[1].extend([r["own"]] * len(w))
-        index = ItemIndex({i: [w for w, o in zip(*x) if o] for i, x in full.items()}, min_words)
-        sent = spark.sparkContext.broadcast((index, full))
+        if not full:
+            continue
+        of_block = df if blocks == 1 else df.join(words.filter(F.col("block") == b).select("w").distinct(), "w", "left_semi")
+        sent = spark.sparkContext.broadcast(Block(full, {r["w"]: r["df"] for r in of_block.collect()}, n, total / n, min_words))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, full = sent.value
+            block = sent.value
+            seen = np.zeros(len(block.vocabulary) + 1, dtype=bool)
             for batch in batches:
-                pairs = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in _leaks_of(words_of(t), index, full, min_words, min_match, min_weight, width)]
+                pairs = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in _leaks_of(words_of(t), block, seen, min_words, min_match, min_weight, width)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "item_id"])
 
-        passes.append(spread(docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''")).mapInArrow(run, "doc_id LONG, item_id LONG"))
-    if not passes:
-        return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id")).limit(0)
+        passes.append(texts.mapInArrow(run, "doc_id LONG, item_id LONG"))
     return reduce(DataFrame.unionByName, passes)
 
 
