@@ -121,12 +121,39 @@ def test_overlap_against_all_pairs(spark, seed, hot):
         rows.append((i, " ".join(w), None, rnd.choice(["train", "train", "validation", "test"]), "s", None, None))
     rows += [(900, None, None, "train", "s", None, None), (901, " ", None, "test", "s", None, None), (902, "recovery", None, "train", "s", None, None), (903, "recovery", None, "test", "s", None, None), rows[0], rows[1]]
     df = spark.createDataFrame(rows, EPISODE)
-    sigs = overlap.classes(df.dropDuplicates(["episode_no"])).cache()
+    sigs = overlap.classes(overlap.signed(df)).cache()
     near = {tuple(r) for r in overlap.near_classes(sigs, hot_pairs=hot).collect()}
     assert near == {tuple(r) for r in overlap.near_classes(sigs, hot_pairs=10**9).collect()}
     assert sorted(tuple(r) for r in overlap.cross_split_pairs(df).collect()) == brute_pairs(rows)
 
 
+def test_short_signatures_are_joined_in_proportion(spark):
+    counts = []
+    for n in (2000, 4000, 8000):
+        rnd = random.Random(n)
+        rows = [(i, " ".join(f"w{rnd.randrange(n)}" for _ in range(3)), None, ("train", "test")[i % 2], "s", None, None) for i in range(n)]
+        sigs = overlap.classes(overlap.signed(spark.createDataFrame(rows, EPISODE))).cache()
+        counts.append(overlap.candidates(sigs).count())
+    assert counts[0] < 20 * 2000 and counts[1] < 3 * counts[0] and counts[2] < 3 * counts[1]
+
+
+def test_word_distance(spark):
+    rnd = random.Random(4)
+    rows = [([f"w{rnd.randrange(6)}" for _ in range(rnd.randrange(7))], [f"w{rnd.randrange(6)}" for _ in range(rnd.randrange(7))]) for _ in range(300)]
+    rows += [([f"x{i}" for i in range(300)], [f"x{i}" for i in range(1, 301)]), ([], [])]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", overlap.word_distance("a", "b").alias("d")).collect()
+
+    def ed(a, b):
+        row = list(range(len(b) + 1))
+        for i, w in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, v in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (w != v))
+        return row[-1]
+
+    assert all(r.d == (d if (d := ed(r.a, r.b)) <= 2 else -1) for r in got)
+
+
 def test_overlap_masks_and_empty(spark):
     rows = [(1, 'Go "a/b.py" at x:<num> (<hex> z) - now', None, "train", "s", None, None), (2, "go a/b.py AT x:12 (0123456789abcdef z) now", None, "test", "t", None, None)]
     df = spark.createDataFrame(rows, EPISODE)
