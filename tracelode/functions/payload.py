@@ -39,3 +39,29 @@ def squeeze(text: Column) -> Column:
 def is_blank(text: Column) -> Column:
     """True for null and for text of nothing but white space of any kind."""
     return F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))) == 0
+
+
+def valid(payload: Column) -> Column:
+    """Whether a payload is one JSON value (a parser alone would stop at the first value of several); false for null."""
+    whole = F.trim(F.regexp_replace(payload, r"[\s]+", " ")).rlike(r'^(\{.*\}|\[.*\]|".*"|-?[0-9][0-9.eE+-]*|true|false|null)$')
+    return F.coalesce(F.try_parse_json(payload).isNotNull() & whole, F.lit(False))
+
+
+def string_at(variant: Column, key: str) -> Column:
+    """The string under a key of a parsed payload; null for values of another type."""
+    return F.when(F.schema_of_variant(F.try_variant_get(variant, f"$.{key}", "variant")) == "STRING", F.try_variant_get(variant, f"$.{key}", "string"))
+
+
+def flag_at(variant: Column, key: str) -> Column:
+    """The boolean under a key; null for values of another type."""
+    return F.when(F.schema_of_variant(F.try_variant_get(variant, f"$.{key}", "variant")) == "BOOLEAN", F.try_variant_get(variant, f"$.{key}", "boolean"))
+
+
+#: The order in which the first text that is not blank is picked from a payload (fixed values).
+OUTCOME_KEYS = ("output", "stderr", "stdout", "text", "content", "error", "message")
+
+
+def first_text(variant: Column, keys: tuple[str, ...] = OUTCOME_KEYS) -> Column:
+    """The first string under `keys` that is not blank; empty where there is none."""
+    filled = lambda c: F.when(c.rlike(r"\S"), c)
+    return F.coalesce(*[filled(string_at(variant, k)) for k in keys], F.lit(""))

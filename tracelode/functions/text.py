@@ -56,11 +56,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def family_signature(command: Column, output: Column) -> Column:
-    """Command and first error line, normalised; falls back to the first line, the command, or `recovery`."""
+    """Command and first error line, normalised; without both the first line that isn't blank, else `recovery`."""
     first_error = F.element_at(F.concat(error_signatures(output, 1), F.array(F.lit(""))), 1)
     cmd = command_signature(F.coalesce(command, F.lit("")))
     both = F.substring(F.trim(F.concat_ws(" ", cmd, F.nullif(first_error, F.lit("")))), 1, 240)
-    return F.coalesce(F.nullif(both, F.lit("")), F.lit("recovery"))
+    line = F.try_element_at(F.filter(F.transform(F.split(output, "\n"), lambda x: F.substring(normalize(x), 1, 240)), lambda x: x != ""), F.lit(1))
+    return F.coalesce(F.nullif(both, F.lit("")), line, F.lit("recovery"))
 
 
 def redact(text: Column) -> Column:

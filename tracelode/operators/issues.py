@@ -5,34 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Order, kind, harmful, confidence and pattern on "command output" (fixed values; the first that matches holds).
-RULES = (
-    ("transient_external", False, 0.84, r"timed? ?out|connection (?:reset|refused)|rate limit|temporarily unavailable|\b50[234]\b"),
-    ("benign_probe", False, 0.80, r"evaluation gate"),
-    ("benign_probe", False, 0.78, r"no checks reported"),
-    ("command_mismatch", True, 0.90, r"unknown option|unrecognized option|command not found|no such option|invalid argument"),
-    ("missing_context", True, 0.78, r"missing api key|not logged in|authentication required|no such file"),
-    ("environment_mismatch", True, 0.86, r"cannot find module|modulenotfounderror|no module named|permission denied"),
-)
+# Patterns of the classifier (fixed values).
+PROBES = ("curl", "wget", "http", "fetch", "jq", "rg", "ripgrep", "grep")
+NO_PROBE = r"\b(playwright|preview|build|deploy|merge|add-iam-policy-binding|domain-mappings)\b"
+PROBE_FAILURE = r"(\b404\b|not found|no matches? found|no result|does not exist|command exited with code 1|jq: (?:parse )?error|parse error:|invalid numeric literal)"
+GATE_COMMAND = r"\b(npm\s+run\s+eval:|tsx\s+scripts\/run-(?:observed-ab|trajectory-outcome)-(?:gate|long-horizon)\.ts)\b"
+GATE_OUTPUT = r"(gate pass:\s*false|gate failures:|family-disjoint pair constraint:)"
+CHECKS_COMMAND = r"\bgh\s+pr\s+checks\b"
+CHECKS_OUTPUT = r"no checks reported on the '.*' branch"
+TRANSIENT = r"(timed out|timeout|connection reset|connection refused|temporarily unavailable|rate limit|429\b|\b50[234]\b|network is unreachable|tls handshake timeout|upstream)"
+TRACEBACK = r"traceback \(most recent call last\):"
+TRACEBACK_COMMAND = r"(generate_vertex_image\.py|vertex|post_linear_comment\.py|scripts\/search\.py|scripts\/content\.py|uploads\.linear\.app|api\.linear\.app)"
+COMMAND_MISMATCH = r"(unknown option|unrecognized option|invalid option|invalid argument|usage:\s|did you mean .*--|without specifying a condition to a policy containing conditions is prohibited|run the command again with .*--condition|cannot use .* without specifying|syntax error near unexpected token|not allowed in a regex)"
+ENVIRONMENT_MISMATCH = r"(permission denied|command not found|executable file not found|executable doesn't exist|cannot find module|cannot find package|err_module_not_found|module not found|no such file or directory|missing dependency|denied by policy|externally-managed-environment|pw_run\.sh|ms-playwright)"
+MISSING_CONTEXT = r"""(undefined variable|is not defined|cannot read properties of undefined|null pointer|keyerror|attributeerror|typeerror|syntaxerror|error ts|traceback \(most recent call last\)|base branch policy prohibits the merge|auto merge is not allowed|could not resolve to a repository|host_mismatch|ownership_missing|provided domain does not appear to be verified|credentials are no longer valid|authentication error|firebase login|reauthentication failed|cannot prompt during non-interactive execution|cloud domains api has not been used|some errors were emitted while running checks|some errors were emitted while applying fixes|"errors":\s*\[|"error":\s*\{|"message":\s*"not found"|"status":\s*"error"|(bearer_token|api[_-]?key|token|credentials).*missing|find: .*no such file or directory|ls: .*no such file or directory|permission denied for table)"""
+AUTH_OUTPUT = r"(http\s*40[13]\b|forbidden|unauthorized|api post .* failed: http\s*400\b)"
+AUTH_COMMAND = r"(search_console_report\.py|searchconsole\.googleapis\.com|firebase_hosting_deploy\.py|firebasehosting\.googleapis\.com|gcloud\s+projects\s+add-iam-policy-binding|gcloud\s+beta\s+run\s+domain-mappings\s+create|gh\s+repo\s+view|gh\s+pr\s+merge)"
+HARMFUL = ("command_mismatch", "missing_context", "environment_mismatch")
+KINDS = ("benign_probe", "command_mismatch", "environment_mismatch", "missing_context", "transient_external", "unknown_failure")
 SURFACES = (("git", "git"), ("npm", "node"), ("pnpm", "node"), ("pytest", "python"), ("python", "python"), ("cargo", "rust"), ("go", "go"), ("make", "make"), ("docker", "container"), ("terraform", "infra"), ("curl", "http"), ("rg", "search"), ("grep", "search"))
 
 
-def normalized(command: Column, output: Column) -> Column:
+def normalized(text: Column) -> Column:
     """Lower case without colour codes, hex runs masked, white space collapsed."""
-    t = F.regexp_replace(F.lower(F.concat_ws(" ", command, output)), r"\u001b\[[0-9;]*m", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[0-9a-f]{8,}", "<hex>"), r"[ \t\n\r\f]+", " "))
+    t = F.regexp_replace(F.lower(F.regexp_replace(text, r"\u001b\[[0-9;]*m", "")), "[0-9a-f]{8,}", "<hex>")
+    return F.trim(F.regexp_replace(t, r"[ \t\n\r\f]+", " "))
+
+
+def is_probe(command: Column) -> Column:
+    """Whether the last part of a command line begins with a looking-up tool and nothing of it builds or deploys."""
+    line = F.lower(strip(command))
+    parts = F.filter(F.transform(F.split(line, r"&&|\|\||;"), strip), lambda x: x != "")
+    first = F.split(F.coalesce(F.try_element_at(parts, F.lit(-1)), line), r"\s+")[0]
+    return first.isin(*PROBES) & ~line.rlike(NO_PROBE)
+
+
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def classify(command: Column, output: Column) -> Column:
-    """struct(kind, harmful, confidence, abstained) of a failure."""
-    text = normalized(command, output)
-    make = lambda kind, harmful, conf, abst=False: F.struct(F.lit(kind).alias("kind"), F.lit(harmful).alias("harmful"), F.lit(conf).alias("confidence"), F.lit(abst).alias("abstained"))
-    out = None
-    for kind, harmful, conf, pattern in RULES:
-        test = text.rlike(pattern)
-        out = F.when(test, make(kind, harmful, conf)) if out is None else out.when(test, make(kind, harmful, conf))
-    blank = F.lower(F.trim(output)).isin("", "(no output)")
-    return out.when(blank, make("environment_mismatch", True, 0.55)).otherwise(make("unknown_failure", False, 0.35, True))
+    """struct(kind, harmful, confidence, abstained) of a failure: the first rule that holds decides."""
+    both = F.concat(normalized(command), F.lit("\n"), normalized(output))
+    says = lambda text, pattern: text.rlike(f"(?i){pattern}")
+    bare = strip(output)
+    silent = (bare == "") | bare.startswith("(no output)")
+    rules = (
+        (says(both, TRANSIENT) | says(output, TRACEBACK) & says(command, TRACEBACK_COMMAND), "transient_external", 0.84),
+        (says(command, GATE_COMMAND) & says(output, GATE_OUTPUT), "benign_probe", 0.80),
+        (says(command, CHECKS_COMMAND) & says(output, CHECKS_OUTPUT), "benign_probe", 0.78),
+        (is_probe(command) & ((bare == "") | (bare == "(no output)") | says(output, PROBE_FAILURE)), "benign_probe", 0.82),
+        (says(both, COMMAND_MISMATCH), "command_mismatch", 0.90),
+        (says(both, MISSING_CONTEXT) | says(output, AUTH_OUTPUT) & says(command, AUTH_COMMAND), "missing_context", 0.78),
+        (says(both, ENVIRONMENT_MISMATCH), "environment_mismatch", 0.86),
+        (silent, "environment_mismatch", 0.55),
+    )
+    make = lambda kind, confidence: F.struct(F.lit(kind).alias("kind"), F.lit(kind in HARMFUL).alias("harmful"), F.lit(confidence).alias("confidence"), F.lit(kind == "unknown_failure").alias("abstained"))
+    out = F.when(rules[0][0], make(*rules[0][1:]))
+    for test, kind, confidence in rules[1:]:
+        out = out.when(test, make(kind, confidence))
+    return out.otherwise(make("unknown_failure", 0.35))
 
 
 def tool_surface(command: Column) -> Column:
@@ -44,15 +77,19 @@ def tool_surface(command: Column) -> Column:
     return out.otherwise("other")
 
 
-def match_rules(texts: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
-    """The best rule of each text (seq): highest confidence, then priority. The rules are a few rows by contract."""
-    from pyspark.sql import Window
+def match_rules(texts: DataFrame, rules: list[tuple[str, str, float, int]], text: str = "text") -> DataFrame:
+    """hint_id and confidence of the best rule of each text: highest confidence, then lowest priority; texts without one go.
 
-    if rules.count() > 10_000:
-        raise ValueError("more than 10,000 rules: split the rule table")
-    hit = texts.join(F.broadcast(rules), F.expr(f"{text} rlike pattern"))
-    rn = F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("confidence"), "priority"))
-    return hit.withColumn("rn", rn).filter("rn = 1").drop("rn", "pattern")
+    `rules` are (hint_id, pattern, confidence, priority), a list of the caller. In their order of preference they make one
+    chain of conditions, so a text is read until its best rule holds, and nothing is joined.
+    """
+    out = None
+    for hint, pattern, confidence, _ in sorted(rules, key=lambda r: (-r[2], r[3])):
+        test, hit = F.col(text).rlike(pattern), F.struct(F.lit(hint).alias("hint_id"), F.lit(confidence).alias("confidence"))
+        out = F.when(test, hit) if out is None else out.when(test, hit)
+    if out is None:
+        out = F.lit(None).cast("struct<hint_id: string, confidence: double>")
+    return texts.withColumn("_hit", out).filter("_hit is not null").select("*", "_hit.hint_id", "_hit.confidence").drop("_hit")
 
 
 def harmful_rate(harmful: Column, failures: Column, prior_harmful: float = 1.0, prior_n: float = 4.0) -> Column:

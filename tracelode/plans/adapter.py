@@ -1,64 +1,85 @@
-"""Trace-shaped view of the `events` table: the same columns for the Spark queries and for their SQL."""
+"""The trace view of `trace_events`: the same columns for the Spark queries and for their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.functions import payload as P
+from tracelode.functions.instants import instant_micros
+from tracelode.functions.text import session_part
+from tracelode.operators import issues
 from tracelode.session import table
 
-#: One sample output per branch of the issue classifier, by k mod 10 (fixed values).
-OUTPUTS = (
-    "fatal: connection timed out after 30000 ms",
-    "merge gate: evaluation gate failed with 2 checks",
-    "no checks reported on the branch",
-    "(no output)",
-    "error: unknown option --fast",
-    "error: missing api key for user 4711",
-    "error: cannot find module core/index.ts",
-    "",
-    "assertion failed: expected 3 to equal 4",
-    "npm err! code 1",
-)
+_COUNTERS = {"tok_in": "inputUncached", "tok_cached": "inputCached", "tok_out": "output", "tok_think": "thinking", "tok_write": "cacheWrite"}
 
-TRACE_SQL = """
-trace AS (
-  SELECT event_id AS seq, CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS ts_ms,
-         'u' || user_id || '-d' || strftime(ts, '%Y%m%d') AS session_id, user_id,
-         CASE event_type WHEN 'view' THEN 'user_input' WHEN 'signup' THEN 'checkpoint' ELSE 'tool_result' END AS type,
-         event_type = 'error' AS is_failure, event_type = 'purchase' AS is_success,
-         CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' ELSE NULL END AS outcome,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-         CAST(value AS DECIMAL(18,2)) AS latency_ms
-  FROM events),
+
+def _str(key: str) -> str:
+    return f"CASE WHEN json_type(doc, '$.{key}') = 'VARCHAR' THEN json_extract_string(doc, '$.{key}') END"
+
+
+def _filled(key: str) -> str:
+    return f"CASE WHEN regexp_matches({_str(key)}, '\\S') THEN {_str(key)} END"
+
+
+#: Rows with a session id and a readable instant; an event is a failure or success by its outcome or its boolean isError.
+TRACE_SQL = f"""
+raw AS (
+  SELECT *, CASE WHEN json_valid(payload) THEN payload END AS doc,
+         CASE WHEN regexp_matches("timestamp", '^\\s*\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}') THEN try_cast("timestamp" AS TIMESTAMPTZ) END AS ts,
+         string_split(lower(trim("sessionId")), '::') AS parts
+  FROM trace_events WHERE regexp_matches("sessionId", '\\S')),
+read AS (
+  SELECT *, coalesce({_str("command")}, '') AS command, coalesce({", ".join(_filled(k) for k in P.OUTCOME_KEYS)}, '') AS output,
+         CASE WHEN json_type(doc, '$.isError') = 'BOOLEAN' THEN CAST(json_extract(doc, '$.isError') AS BOOLEAN) END AS is_error
+  FROM raw WHERE ts IS NOT NULL),
 traced AS (
-  SELECT *, 'tool_' || chr(CAST(97 + k % 12 AS INTEGER)) || ' --run' AS command,
-         CASE k % 10 WHEN 0 THEN 'fatal: connection timed out after 30000 ms' WHEN 1 THEN 'merge gate: evaluation gate failed with 2 checks' WHEN 2 THEN 'no checks reported on the branch'
-           WHEN 3 THEN '(no output)' WHEN 4 THEN 'error: unknown option --fast' WHEN 5 THEN 'error: missing api key for user 4711' WHEN 6 THEN 'error: cannot find module core/index.ts'
-           WHEN 7 THEN '' WHEN 8 THEN 'assertion failed: expected 3 to equal 4' ELSE 'npm err! code 1' END AS output,
-         CAST(k AS DECIMAL(18,2)) AS tok_in, CAST(k % 5 AS DECIMAL(18,2)) AS tok_cached, CAST(k % 7 AS DECIMAL(18,2)) AS tok_out,
-         'model-' || chr(CAST(97 + user_id % 3 AS INTEGER)) AS model,
-         CASE WHEN user_id % 2 = 0 THEN 'off' ELSE 'on' END AS variant
-  FROM trace)
+  SELECT ingest_seq AS seq, id, epoch_us(ts) // 1000 AS ts_ms, "sessionId" AS session_id, type, is_error, metrics.outcome AS outcome,
+         type = 'tool_result' AND (coalesce(metrics.outcome = 'failure', false) OR coalesce(is_error, false)) AS is_failure,
+         type = 'tool_result' AND (coalesce(metrics.outcome = 'success', false) OR coalesce(NOT is_error, false)) AS is_success,
+         ingest_seq AS k, CAST(coalesce(metrics."latencyMs", 0) AS DECIMAL(18,2)) AS latency_ms, command, output,
+         {", ".join(f'CAST(coalesce(metrics.tokens."{f}", 0) AS DECIMAL(18,2)) AS {c}' for c, f in _COUNTERS.items())},
+         CAST(coalesce(metrics.cost.usd, 0) AS DECIMAL(18,6)) AS usd,
+         coalesce(harness, 'unknown') AS model, coalesce("actorId", '') AS actor,
+         CASE WHEN len(parts) IN (3, 4) AND parts[3] IN ('off', 'on') THEN parts[3] WHEN md5("sessionId") < '8' THEN 'off' ELSE 'on' END AS variant
+  FROM read)
 """
 
 
 def traced(spark: SparkSession, sf: str) -> DataFrame:
-    """seq, id, ts_ms, session_id, user_id, type, is_failure, is_success, outcome, k, latency_ms, command, output, tok_*, model, variant."""
-    kind = F.col("event_type")
-    letter = lambda c: F.char(97 + c)
-    base = table(spark, sf, "events").select(
-        F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-d"), F.date_format("ts", "yyyyMMdd")).alias("session_id"), "user_id",
-        F.when(kind == "view", "user_input").when(kind == "signup", "checkpoint").otherwise("tool_result").alias("type"),
-        (kind == "error").alias("is_failure"), (kind == "purchase").alias("is_success"),
-        F.when(kind == "error", "failure").when(kind == "purchase", "success").alias("outcome"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.col("value").cast("decimal(18,2)").alias("latency_ms"),
+    """seq, id, ts_ms, session_id, type, is_error, outcome, is_failure, is_success, k, latency_ms, command, output, tok_*, usd, model, actor, variant."""
+    s = F.col("sessionId")
+    doc = F.when(P.valid(F.col("payload")), F.try_parse_json("payload"))
+    dec = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(18,2)")
+    read = (
+        table(spark, sf, "trace_events").filter(s.rlike(r"\S")).select("*", instant_micros(F.col("timestamp")).alias("us"), doc.alias("doc")).filter("us is not null")
+        .withColumns({"command": F.coalesce(P.string_at(F.col("doc"), "command"), F.lit("")), "output": P.first_text(F.col("doc")), "is_error": P.flag_at(F.col("doc"), "isError")})
     )
-    output = F.element_at(F.array(*[F.lit(x) for x in OUTPUTS]), (F.col("k") % 10 + 1).cast("int"))
-    dec = lambda c: c.cast("decimal(18,2)")
-    return base.select(
-        "*", F.concat(F.lit("tool_"), letter(F.col("k") % 12), F.lit(" --run")).alias("command"), output.alias("output"),
-        dec(F.col("k")).alias("tok_in"), dec(F.col("k") % 5).alias("tok_cached"), dec(F.col("k") % 7).alias("tok_out"),
-        F.concat(F.lit("model-"), letter(F.col("user_id") % 3)).alias("model"), F.when(F.col("user_id") % 2 == 0, "off").otherwise("on").alias("variant"),
+    outcome, result = F.col("metrics.outcome"), F.col("type") == "tool_result"
+    is_it = lambda name, flag: result & (F.coalesce(outcome == name, F.lit(False)) | F.coalesce(flag, F.lit(False)))
+    side = session_part(s, 3)
+    return read.select(
+        F.col("ingest_seq").alias("seq"), "id", F.floor(F.col("us") / 1000).alias("ts_ms"), s.alias("session_id"), "type", "is_error", outcome.alias("outcome"),
+        is_it("failure", F.col("is_error")).alias("is_failure"), is_it("success", ~F.col("is_error")).alias("is_success"),
+        F.col("ingest_seq").alias("k"), dec("metrics.latencyMs").alias("latency_ms"), "command", "output", *[dec(f"metrics.tokens.{f}").alias(c) for c, f in _COUNTERS.items()],
+        F.coalesce(F.col("metrics.cost.usd"), F.lit(0.0)).cast("decimal(18,6)").alias("usd"), F.coalesce("harness", F.lit("unknown")).alias("model"), F.coalesce("actorId", F.lit("")).alias("actor"),
+        F.when(side.isin("off", "on"), side).when(F.md5(s) < "8", "off").otherwise("on").alias("variant"),
+    )
+
+
+def observed(spark: SparkSession, sf: str) -> DataFrame:
+    """Recovery episodes of `episodes`, each once, that have a readable start, in the columns of extracted ones.
+
+    The issue of an episode is classified from its signature (command and first error line); its retries are all of that kind.
+    """
+    dec = lambda c, kind="decimal(18,2)": F.coalesce(F.col(c), F.lit(0.0)).cast(kind)
+    retries, kind = F.coalesce(F.col("retries"), F.lit(0.0)).cast("bigint"), F.col("kind")
+    family = F.coalesce(F.nullif(F.trim("familySignature"), F.lit("")), F.lit("recovery"))
+    e = table(spark, sf, "episodes").dropDuplicates(["episode_no"]).withColumns({"started_ms": F.floor(instant_micros(F.col("startedAt")) / 1000), "ended_ms": F.floor(instant_micros(F.col("endedAt")) / 1000), "family": family})
+    e = e.filter("started_ms is not null").withColumn("kind", issues.classify(F.lit(""), F.col("family"))["kind"])
+    some = lambda test: F.when(test, retries).otherwise(F.lit(0).cast("bigint"))
+    return e.select(
+        F.coalesce("sessionId", F.lit("")).alias("session_id"), F.col("episode_no").alias("start_seq"), "started_ms", "ended_ms", retries.alias("retries"), dec("wallTimeMs").alias("wall_ms"), dec("tokenCount").alias("tokens"), dec("tokenProxy").alias("proxy"),
+        dec("costUsd", "decimal(18,6)").alias("usd"), F.coalesce("success", F.lit(False)).alias("success"), "family", F.coalesce("source", F.lit("unknown")).alias("model"), F.coalesce("split", F.lit("")).alias("split"), "kind",
+        some(kind.isin(*issues.HARMFUL)).alias("harmful"), some(kind.isin("benign_probe", "transient_external")).alias("benign"), some(kind == "unknown_failure").alias("abstained"),
     )

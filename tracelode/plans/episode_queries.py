@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.functions.metrics import checks
 from tracelode.operators import episodes as E
-from tracelode.plans.adapter import TRACE_SQL, traced
-
-_FAMILY_SQL = """
-trim(substr(trim(regexp_replace(command, '[ \\t\\n\\r\\f]+', ' ', 'g')) ||
-  CASE WHEN regexp_matches(output, '(?i)(error|exception|failed|failure|fatal|panic|traceback|not found|denied|cannot|unable to)')
-       THEN ' ' || regexp_replace(regexp_replace(lower(trim(output)), '[0-9a-f]{8,}', '<hex>', 'g'), '(^|[^A-Za-z0-9_])[0-9]+($|[^A-Za-z0-9_])', '\\1<num>\\2', 'g') ELSE '' END, 1, 240))
+from tracelode.operators import issues
+from tracelode.operators.ordered import running
+from tracelode.plans.adapter import TRACE_SQL, observed, traced
+
+_NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[0-9a-f]{{8,}}', '<hex>', 'g'), '\\b[0-9]+\\b', '<num>', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+_ERROR = "(?i)(error|exception|failed|failure|fatal|panic|traceback|not found|denied|cannot|unable to)"
+_FAMILY_SQL = f"""coalesce(
+  nullif(substr(trim(concat_ws(' ', substr({_NORMAL.format("command")}, 1, 240), substr({_NORMAL.format(f"list_filter(string_split(output, chr(10)), lambda x: regexp_matches(x, '{_ERROR}'))[1]")}, 1, 240))), 1, 240), ''),
+  list_filter(list_transform(string_split(output, chr(10)), lambda x: substr({_NORMAL.format("x")}, 1, 240)), lambda x: x <> '')[1], 'recovery')
 """
 
 EPISODE_SQL = f"""
@@ -25,18 +27,40 @@ marked AS (
 spans AS (SELECT *, {_FAMILY_SQL} AS fam FROM marked WHERE start IS NOT NULL AND stop IS NOT NULL AND (ts_ms, seq) >= start),
 episodes AS (
   SELECT session_id, arg_min(seq, (ts_ms, seq)) AS start_seq, min(ts_ms) AS started_ms, max(ts_ms) AS ended_ms, CAST(sum(CAST(is_failure AS INT)) AS BIGINT) AS retries,
-         sum(latency_ms) AS wall_ms, sum(tok_in + tok_cached + tok_out) AS tokens, sum(tok_in * 1.0 + tok_cached * 0.2 + tok_out * 1.0) AS proxy,
+         sum(latency_ms) AS wall_ms, sum(tok_in + tok_cached + tok_out + tok_think + tok_write) AS tokens, sum(tok_in * 1.0 + tok_cached * 0.2 + tok_out * 1.0 + tok_think * 1.0 + tok_write * 0.2) AS proxy,
          arg_min(fam, (ts_ms, seq)) AS family, arg_min(model, (ts_ms, seq)) AS model, count(*) AS events
   FROM spans GROUP BY session_id, grp)
 """
 
 _RATIO = "CASE WHEN {a} = 0 AND {b} = 0 THEN 1.0 WHEN {a} <= 0 OR {b} <= 0 THEN CAST('Infinity' AS DOUBLE) ELSE greatest(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) / least(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END"
-_COLS = ("session_id", "start_seq", "started_ms", "retries", "wall_ms", "tokens", "proxy", "model")
+_COLS = ("session_id", "start_seq", "started_ms", "retries", "wall_ms", "tokens", "proxy", "model", "usd", "success", "harmful", "benign", "abstained")
+
+
+def _says(pattern: str) -> str:
+    return f"regexp_matches(plain, '{pattern.replace(chr(39), chr(39) * 2)}', 'i')"
+
+
+_INSTANT = "CASE WHEN regexp_matches({0}, '^\\s*\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}') THEN epoch_us(try_cast({0} AS TIMESTAMPTZ)) // 1000 END"
+#: The episodes of the table, classified by what their signature says (rules that need a command can't hold).
+OBSERVED_SQL = f"""
+known AS (SELECT DISTINCT * FROM episodes),
+dated AS (
+  SELECT *, {_INSTANT.format('"startedAt"')} AS started_ms, {_INSTANT.format('"endedAt"')} AS ended_ms, coalesce(nullif(trim("familySignature"), ''), 'recovery') AS family FROM known),
+said AS (SELECT *, trim(regexp_replace(regexp_replace(lower(regexp_replace(family, '\\x1b\\[[0-9;]*m', '', 'g')), '[0-9a-f]{{8,}}', '<hex>', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS plain FROM dated WHERE started_ms IS NOT NULL),
+kinds AS (
+  SELECT *, CASE WHEN {_says(issues.TRANSIENT)} THEN 'transient_external' WHEN {_says(issues.COMMAND_MISMATCH)} THEN 'command_mismatch' WHEN {_says(issues.MISSING_CONTEXT)} THEN 'missing_context'
+    WHEN {_says(issues.ENVIRONMENT_MISMATCH)} OR starts_with(family, '(no output)') THEN 'environment_mismatch' ELSE 'unknown_failure' END AS kind, CAST(coalesce(retries, 0) AS BIGINT) AS n FROM said),
+observed AS (
+  SELECT coalesce("sessionId", '') AS session_id, episode_no AS start_seq, started_ms, ended_ms, n AS retries, CAST(coalesce("wallTimeMs", 0) AS DECIMAL(18,2)) AS wall_ms, CAST(coalesce("tokenCount", 0) AS DECIMAL(18,2)) AS tokens,
+    CAST(coalesce("tokenProxy", 0) AS DECIMAL(18,2)) AS proxy, CAST(coalesce("costUsd", 0) AS DECIMAL(18,6)) AS usd, coalesce(success, false) AS success, family, coalesce(source, 'unknown') AS model, coalesce(split, '') AS split, kind,
+    CASE WHEN kind IN ('command_mismatch', 'missing_context', 'environment_mismatch') THEN n ELSE 0 END AS harmful, CASE WHEN kind IN ('benign_probe', 'transient_external') THEN n ELSE 0 END AS benign, CASE WHEN kind = 'unknown_failure' THEN n ELSE 0 END AS abstained
+  FROM kinds)
+"""
 PAIR_SQL = f"""
-{EPISODE_SQL},
+{OBSERVED_SQL},
 lagged AS (
   SELECT family, {", ".join(f"lag({c}) OVER w AS off_{c}" for c in _COLS)}, {", ".join(f"{c} AS on_{c}" for c in _COLS)}
-  FROM episodes WINDOW w AS (PARTITION BY family ORDER BY started_ms, start_seq)),
+  FROM observed WINDOW w AS (PARTITION BY family ORDER BY started_ms, start_seq)),
 rated AS (
   SELECT *, {_RATIO.format(a="off_wall_ms", b="on_wall_ms")} AS wall_ratio, {_RATIO.format(a="off_tokens", b="on_tokens")} AS token_ratio, off_session_id <> on_session_id AS crossed
   FROM lagged WHERE off_start_seq IS NOT NULL),
@@ -66,7 +90,7 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return E.adjacent_pairs(episodes(spark, sf))
+    return E.adjacent_pairs(observed(spark, sf))
 
 
 _EP = ["wall_ms", "tokens", "proxy"]
@@ -81,7 +105,7 @@ def pairs_adjacent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairing_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    eps, prs = episodes(spark, sf), pairs(spark, sf)
+    eps, prs = observed(spark, sf), pairs(spark, sf)
     fam = eps.groupBy("family").agg(F.count("*").alias("n")).agg(F.count("*").alias("families_seen"), F.count_if(F.col("n") > 1).alias("families_eligible"))
     trans = prs.agg(F.count("*").alias("transitions"), F.count_if("crossed").alias("crossed"), F.count_if("kept").alias("kept"), F.count_if(F.col("crossed") & ~F.col("kept")).alias("dropped_outliers"))
     return fam.join(trans)
@@ -91,14 +115,6 @@ def pair_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return _doubles(E.aggregate_pairs(pairs(spark, sf)), _OUT)
 
 
-def gate_observed(spark: SparkSession, sf: str) -> DataFrame:
-    """Thresholds of the observed gate: pairs 3, dead ends .25, wall .1, tokens .1, proxy .1."""
-    a = E.aggregate_pairs(pairs(spark, sf))
-    c = F.col
-    failures = checks(("pairs", c("pairs") >= 3), ("dead_end", c("dead_end_reduction") >= 0.25), ("wall", c("wall_reduction") >= 0.1), ("tokens", c("token_reduction") >= 0.1), ("proxy", c("proxy_reduction") >= 0.1))
-    return a.select("pairs", "dead_end_reduction", "wall_reduction", "token_reduction", "proxy_reduction", failures.alias("failures")).withColumn("passed", c("failures") == "")
-
-
 def strata_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs by model, by tool, and by both, in one pass."""
     p = pairs(spark, sf).filter("kept").withColumn("tool", F.split("family", " ")[0])
@@ -108,35 +124,30 @@ def strata_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def family_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return episodes(spark, sf).groupBy("family").agg(F.count("*").alias("episodes"), F.count_distinct("session_id").alias("sessions"), F.sum("retries").alias("retries"), F.round(F.sum("wall_ms").cast("double"), 6).alias("wall_ms"), F.substring(F.sha2("family", 256), 1, 16).alias("family_id"))
+    return observed(spark, sf).groupBy("family").agg(F.count("*").alias("episodes"), F.count_distinct("session_id").alias("sessions"), F.sum("retries").alias("retries"), F.round(F.sum("wall_ms").cast("double"), 6).alias("wall_ms"), F.substring(F.sha2("family", 256), 1, 16).alias("family_id"))
 
 
 def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions in the order of their start; the last half is the evaluation side."""
-    from pyspark.sql import Window
-
-    s = traced(spark, sf).groupBy("session_id").agg(F.min("ts_ms").alias("started_ms"))
-    # Positions come from a range partitioning: offsets of partitions, then row numbers within them.
-    part = s.repartitionByRange("started_ms", "session_id").withColumn("p", F.spark_partition_id())
-    sizes = part.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    rn = F.row_number().over(Window.partitionBy("p").orderBy("started_ms", "session_id"))
-    placed = part.withColumn("rn", rn).join(F.broadcast(sizes), "p").withColumn("position", F.col("rn") + F.col("before"))
+    s = traced(spark, sf).groupBy("session_id").agg(F.min("ts_ms").alias("started_ms")).withColumn("all", F.lit(""))
+    placed = running(s, "all", ["started_ms", "session_id"], before=F.lit(1))
+    sized = placed.join(F.broadcast(s.agg(F.count("*").alias("total"))))  # one row
     held = F.least(F.col("total") - 1, F.greatest(F.lit(1), F.floor(F.col("total") * 0.5 + 0.5)))
-    return placed.select("session_id", F.when((F.col("total") > 1) & (F.col("position") > F.col("total") - held), "eval").otherwise("train").alias("side"))
+    return sized.select("session_id", F.when((F.col("total") > 1) & (F.col("before") >= F.col("total") - held), "eval").otherwise("train").alias("side"))
 
 
 def family_disjoint(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation episodes whose family is not in train (left anti join)."""
-    e = episodes(spark, sf).join(holdout_split(spark, sf), "session_id")
-    train = e.filter("side = 'train'").select("family").distinct()
-    return e.filter("side = 'eval'").join(train, "family", "left_anti").select("session_id", "start_seq", "family")
+    """Held-out episodes whose family is not in train (left anti join)."""
+    e = observed(spark, sf)
+    train = e.filter("split = 'train'").select("family").distinct()
+    return e.filter("split <> 'train'").join(train, "family", "left_anti").select("session_id", "start_seq", "family")
 
 
 def family_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Families on both sides, with their evaluation episodes (left semi join)."""
-    e = episodes(spark, sf).join(holdout_split(spark, sf), "session_id")
-    train = e.filter("side = 'train'").select("family").distinct()
-    return e.filter("side = 'eval'").join(train, "family", "left_semi").groupBy("family").agg(F.count("*").alias("eval_episodes"))
+    """Families on both sides, with their held-out episodes (left semi join)."""
+    e = observed(spark, sf)
+    train = e.filter("split = 'train'").select("family").distinct()
+    return e.filter("split <> 'train'").join(train, "family", "left_semi").groupBy("family").agg(F.count("*").alias("eval_episodes"))
 
 
 _SPLIT_SQL = """
@@ -145,20 +156,18 @@ placed AS (SELECT session_id, row_number() OVER (ORDER BY started_ms, session_id
 sides AS (SELECT session_id, CASE WHEN total > 1 AND position > total - least(total - 1, greatest(1, CAST(floor(total * 0.5 + 0.5) AS BIGINT))) THEN 'eval' ELSE 'train' END AS side FROM placed)
 """
 
-QUERIES = {f.__name__: f for f in (episodes_extract, pairs_adjacent, pairing_diagnostics, pair_aggregate, gate_observed, strata_grouping_sets, family_totals, holdout_split, family_disjoint, family_overlap)}
+QUERIES = {f.__name__: f for f in (episodes_extract, pairs_adjacent, pairing_diagnostics, pair_aggregate, strata_grouping_sets, family_totals, holdout_split, family_disjoint, family_overlap)}
 
-_GATE = "concat_ws(',', CASE WHEN NOT pairs >= 3 THEN 'pairs' END, CASE WHEN NOT dead_end_reduction >= 0.25 THEN 'dead_end' END, CASE WHEN NOT wall_reduction >= 0.1 THEN 'wall' END, CASE WHEN NOT token_reduction >= 0.1 THEN 'tokens' END, CASE WHEN NOT proxy_reduction >= 0.1 THEN 'proxy' END)"
 _AGG = f"{PAIR_SQL}, sums AS (SELECT count(*) AS pairs, {_SUMS} FROM pairs WHERE kept), agg AS (SELECT *, {_REDS} FROM sums)"
 
 SQL = {
     "episodes_extract": f"WITH {EPISODE_SQL} SELECT session_id, start_seq, started_ms, ended_ms, retries, family, model, events, {_dsql(_EP)} FROM episodes",
     "pairs_adjacent": f"WITH {PAIR_SQL} SELECT family, off_start_seq, on_start_seq, round(wall_ratio, 6) AS wall_ratio, round(token_ratio, 6) AS token_ratio, round(1 / (1 + abs(log2(wall_ratio)) + abs(log2(token_ratio))), 6) AS quality FROM pairs WHERE kept",
-    "pairing_diagnostics": f"WITH {PAIR_SQL}, fam AS (SELECT family, count(*) AS n FROM episodes GROUP BY 1) SELECT (SELECT count(*) FROM fam) AS families_seen, (SELECT count(*) FROM fam WHERE n > 1) AS families_eligible, count(*) AS transitions, count(*) FILTER (crossed) AS crossed, count(*) FILTER (kept) AS kept, count(*) FILTER (crossed AND NOT kept) AS dropped_outliers FROM pairs",
+    "pairing_diagnostics": f"WITH {PAIR_SQL}, fam AS (SELECT family, count(*) AS n FROM observed GROUP BY 1) SELECT (SELECT count(*) FROM fam) AS families_seen, (SELECT count(*) FROM fam WHERE n > 1) AS families_eligible, count(*) AS transitions, count(*) FILTER (crossed) AS crossed, count(*) FILTER (kept) AS kept, count(*) FILTER (crossed AND NOT kept) AS dropped_outliers FROM pairs",
     "pair_aggregate": f"WITH {_AGG} SELECT pairs, {_dsql(_OUT)}, dead_end_reduction, wall_reduction, token_reduction, proxy_reduction FROM agg",
-    "gate_observed": f"WITH {_AGG}, g AS (SELECT pairs, dead_end_reduction, wall_reduction, token_reduction, proxy_reduction, {_GATE} AS failures FROM agg) SELECT *, failures = '' AS passed FROM g",
     "strata_grouping_sets": f"WITH {PAIR_SQL}, k AS (SELECT *, split_part(family, ' ', 1) AS tool FROM pairs WHERE kept) SELECT on_model, tool, count(*) AS pairs, CAST(sum(off_retries) AS BIGINT) AS off_retries, CAST(sum(on_retries) AS BIGINT) AS on_retries, CAST(grouping(on_model, tool) AS INTEGER) AS level, round((sum(off_retries) - sum(on_retries)) / sum(off_retries), 6) AS reduction FROM k GROUP BY GROUPING SETS ((on_model), (tool), (on_model, tool))",
-    "family_totals": f"WITH {EPISODE_SQL} SELECT family, count(*) AS episodes, count(DISTINCT session_id) AS sessions, CAST(sum(retries) AS BIGINT) AS retries, round(CAST(sum(wall_ms) AS DOUBLE), 6) AS wall_ms, substr(sha256(family), 1, 16) AS family_id FROM episodes GROUP BY family",
+    "family_totals": f"WITH {OBSERVED_SQL} SELECT family, count(*) AS episodes, count(DISTINCT session_id) AS sessions, CAST(sum(retries) AS BIGINT) AS retries, round(CAST(sum(wall_ms) AS DOUBLE), 6) AS wall_ms, substr(sha256(family), 1, 16) AS family_id FROM observed GROUP BY family",
     "holdout_split": f"WITH {TRACE_SQL}, {_SPLIT_SQL} SELECT session_id, side FROM sides",
-    "family_disjoint": f"WITH {EPISODE_SQL}, {_SPLIT_SQL}, e AS (SELECT * FROM episodes JOIN sides USING (session_id)) SELECT session_id, start_seq, family FROM e WHERE side = 'eval' AND family NOT IN (SELECT family FROM e WHERE side = 'train')",
-    "family_overlap": f"WITH {EPISODE_SQL}, {_SPLIT_SQL}, e AS (SELECT * FROM episodes JOIN sides USING (session_id)) SELECT family, count(*) AS eval_episodes FROM e WHERE side = 'eval' AND family IN (SELECT family FROM e WHERE side = 'train') GROUP BY family",
+    "family_disjoint": f"WITH {OBSERVED_SQL} SELECT session_id, start_seq, family FROM observed WHERE split <> 'train' AND family NOT IN (SELECT family FROM observed WHERE split = 'train')",
+    "family_overlap": f"WITH {OBSERVED_SQL} SELECT family, count(*) AS eval_episodes FROM observed WHERE split <> 'train' AND family IN (SELECT family FROM observed WHERE split = 'train') GROUP BY family",
 }

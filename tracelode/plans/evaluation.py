@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelode.functions import text as T
 from tracelode.functions.metrics import checks, f1, relative_reduction, safe_rate, token_proxy
 from tracelode.operators import issues
+from tracelode.operators.ordered import running
 from tracelode.plans.adapter import TRACE_SQL, traced
 from tracelode.plans.text_queries import _CONF, _HARM, _KIND
 
@@ -72,8 +74,8 @@ def adjudication(spark: SparkSession, sf: str) -> DataFrame:
 def dual_review(spark: SparkSession, sf: str) -> DataFrame:
     """The first tenth (by a hash order) goes to both reviewers, the rest in turns."""
     rows = _labelled(spark, sf).select("seq")
-    w = Window.orderBy(F.sha2(F.col("seq").cast("string"), 256))  # a review sample is a few hundred rows by contract
-    n = rows.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    placed = running(rows.select("seq", F.lit("").alias("all"), F.sha2(F.col("seq").cast("string"), 256).alias("h")), "all", ["h", "seq"], i=F.lit(1))
+    n = placed.join(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
     both = F.floor(F.col("n") * 0.1 + 0.5)
     return n.select("seq", F.when(F.col("i") < both, "both").when((F.col("i") - both) % 2 == 0, "a").otherwise("b").alias("reviewer"))
 
@@ -101,18 +103,39 @@ def model_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def variant_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """The k-th off session with the k-th on session of each day and model (positional join)."""
-    s = traced(spark, sf).groupBy(F.substring_index("session_id", "-d", -1).alias("day"), "model", "variant", "session_id").agg(F.min("ts_ms").alias("t"), F.count_if("is_failure").alias("failures"), F.sum("latency_ms").alias("latency"))
-    rn = s.withColumn("rn", F.row_number().over(Window.partitionBy("day", "model", "variant").orderBy("t", "session_id")))
-    off, on = (rn.filter(F.col("variant") == v).select("day", "model", "rn", F.col("session_id").alias(f"{v}_session"), F.col("failures").alias(f"{v}_failures"), F.col("latency").alias(f"{v}_latency")) for v in ("off", "on"))
-    return off.join(on, ["day", "model", "rn"]).select("day", "model", "rn", "off_session", "on_session", "off_failures", "on_failures", F.round(relative_reduction(F.col("off_latency"), F.col("on_latency")), 6).alias("latency_reduction"))
+    """The k-th off session with the k-th on session of each task instance and replicate (positional join)."""
+    sid = F.col("session_id")
+    t = traced(spark, sf).withColumns({"instance": T.session_part(sid, 2), "side": T.session_part(sid, 3), "replicate": F.coalesce(T.session_part(sid, 4), F.lit("r1"))}).filter("instance is not null")
+    tokens = F.col("tok_in") + F.col("tok_cached") + F.col("tok_out") + F.col("tok_think") + F.col("tok_write")
+    f = t.withColumn("harmful", F.col("is_failure") & issues.classify(F.col("command"), F.col("output"))["harmful"])
+    s = f.groupBy("instance", "replicate", "side", "session_id").agg(F.min("ts_ms").alias("t"), F.count_if("is_failure").alias("failures"), F.count_if("harmful").alias("harmful"), F.sum("latency_ms").alias("latency"), F.sum(tokens).alias("tokens"))
+    rn = s.withColumn("rn", F.row_number().over(Window.partitionBy("instance", "replicate", "side").orderBy("t", "session_id")))  # the sessions of one replicate
+    off, on = (rn.filter(F.col("side") == v).select("instance", "replicate", "rn", F.col("session_id").alias(f"{v}_session"), *[F.col(c).alias(f"{v}_{c}") for c in ("failures", "harmful", "latency", "tokens")]) for v in ("off", "on"))
+    red = lambda c: F.round(relative_reduction(F.col(f"off_{c}"), F.col(f"on_{c}")), 6).alias(f"{c}_reduction")
+    return off.join(on, ["instance", "replicate", "rn"]).select("instance", "replicate", "rn", "off_session", "on_session", "off_failures", "on_failures", "off_harmful", "on_harmful", red("latency"), red("tokens"))
 
 
 def paired_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Totals over all variant pairs, and the validity gate."""
-    p = variant_pairs(spark, sf).agg(F.count("*").alias("pairs"), F.sum("off_failures").alias("off_failures"), F.sum("on_failures").alias("on_failures"))
-    red = F.round(relative_reduction(F.col("off_failures"), F.col("on_failures")), 6)
-    return p.withColumn("failure_reduction", red).withColumn("failures", checks(("pairs", F.col("pairs") >= 3), ("reduction", F.col("failure_reduction") >= 0.1)))
+    """Totals over all variant pairs: failures, harmful ones, their rate among failures, reductions, and the validity gate."""
+    p = variant_pairs(spark, sf).agg(F.count("*").alias("pairs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("off_failures", "on_failures", "off_harmful", "on_harmful")])
+    rate = lambda v: F.round(safe_rate(F.col(f"{v}_harmful"), F.col(f"{v}_failures")), 6)
+    red = lambda c: F.round(relative_reduction(F.col(f"off_{c}"), F.col(f"on_{c}")), 6)
+    out = p.withColumns({"off_rate": rate("off"), "on_rate": rate("on"), "failure_reduction": red("failures")}).withColumn("rate_reduction", F.round(relative_reduction(F.col("off_rate"), F.col("on_rate")), 6))
+    return out.withColumn("failures", checks(("pairs", F.col("pairs") >= 3), ("reduction", F.col("failure_reduction") >= 0.1)))
+
+
+def pairing_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """How sessions pair: with an identity, without, by side, runs, runs with both sides, and sessions left without a partner."""
+    sid = F.col("session_id")
+    s = traced(spark, sf).select("session_id").distinct().withColumns({"instance": T.session_part(sid, 2), "side": T.session_part(sid, 3), "replicate": F.coalesce(T.session_part(sid, 4), F.lit("r1"))})
+    known = F.col("instance").isNotNull()
+    r = s.groupBy(known.alias("known"), "instance", "replicate").agg(F.count_if(F.col("side") == "off").alias("off"), F.count_if(F.col("side") == "on").alias("on"), F.count("*").alias("n"))
+    k, pair = F.col("known"), F.least("off", "on")
+    total = lambda c, cond=k: F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
+    return r.agg(
+        total(F.col("n"), F.lit(True)).alias("sessions"), total(F.col("n"), ~k).alias("without_identity"), total(F.col("off")).alias("off_sessions"), total(F.col("on")).alias("on_sessions"), total(F.col("n") - F.col("off") - F.col("on")).alias("other_sessions"),
+        F.count_if(k).alias("runs"), F.count_if(k & (pair > 0)).alias("runs_with_both"), total(pair).alias("pairs"), total(F.col("off") + F.col("on") - 2 * pair).alias("unpaired"),
+    )
 
 
 def variant_medians(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,13 +185,17 @@ _CONFUSION = f"{_LAB}, spine AS (SELECT a.n AS predicted, b.n AS manual FROM (SE
 _RATE = "CASE WHEN {1} > 0 THEN CAST({0} AS DOUBLE) / ({1}) ELSE 0.0 END"
 _F1 = "CASE WHEN {0} + {1} > 0 THEN 2 * {0} * {1} / ({0} + {1}) ELSE 0.0 END"
 _RED = "CASE WHEN {0} <= 0 THEN CASE WHEN {1} <= 0 THEN 0.0 ELSE -1.0 END ELSE CAST({0} - {1} AS DOUBLE) / CAST({0} AS DOUBLE) END"
-_VP = f"""{TRACE_SQL}, s AS (SELECT split_part(session_id, '-d', 2) AS day, model, variant, session_id, min(ts_ms) AS t, count(*) FILTER (is_failure) AS failures, sum(latency_ms) AS latency FROM traced GROUP BY 1, 2, 3, 4),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY day, model, variant ORDER BY t, session_id) AS INTEGER) AS rn FROM s),
-vp AS (SELECT o.day, o.model, o.rn, o.session_id AS off_session, n.session_id AS on_session, o.failures AS off_failures, n.failures AS on_failures, round({_RED.format("o.latency", "n.latency")}, 6) AS latency_reduction FROM r o JOIN r n ON o.day = n.day AND o.model = n.model AND o.rn = n.rn AND o.variant = 'off' AND n.variant = 'on')"""
+_VP = f"""{TRACE_SQL}, f AS (SELECT *, {_KIND} AS kind, string_split(lower(trim(session_id)), '::') AS p FROM traced),
+s AS (SELECT trim(p[2]) AS instance, coalesce(nullif(trim(p[4]), ''), 'r1') AS replicate, nullif(trim(p[3]), '') AS side, session_id, min(ts_ms) AS t, count(*) FILTER (is_failure) AS failures, count(*) FILTER (is_failure AND {_HARM}) AS harmful,
+  sum(latency_ms) AS latency, sum(tok_in + tok_cached + tok_out + tok_think + tok_write) AS tokens FROM f WHERE len(p) IN (3, 4) AND trim(p[2]) <> '' GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY instance, replicate, side ORDER BY t, session_id) AS INTEGER) AS rn FROM s),
+vp AS (SELECT instance, replicate, rn, a.session_id AS off_session, b.session_id AS on_session, a.failures AS off_failures, b.failures AS on_failures, a.harmful AS off_harmful, b.harmful AS on_harmful,
+  round({_RED.format("a.latency", "b.latency")}, 6) AS latency_reduction, round({_RED.format("a.tokens", "b.tokens")}, 6) AS tokens_reduction
+  FROM r a JOIN r b USING (instance, replicate, rn) WHERE a.side = 'off' AND b.side = 'on')"""
 
 QUERIES = {
     f.__name__: f
-    for f in (calibration_confusion, calibration_classes, harmful_metrics, threshold_sweep, adjudication, dual_review, run_outcomes, session_summaries, model_keys, variant_pairs, paired_totals, variant_medians, run_quality, feasibility, canary_decision, dominant_issues)
+    for f in (calibration_confusion, calibration_classes, harmful_metrics, threshold_sweep, adjudication, dual_review, run_outcomes, session_summaries, model_keys, variant_pairs, paired_totals, pairing_counters, variant_medians, run_quality, feasibility, canary_decision, dominant_issues)
 }
 
 SQL = {
@@ -182,7 +209,14 @@ SQL = {
     "session_summaries": f"WITH {TRACE_SQL}, g AS (SELECT session_id, min(ts_ms) AS started_ms, max(ts_ms) - min(ts_ms) AS duration_ms, count(*) AS events, count(*) FILTER (type = 'tool_result') AS tool_results, round(CAST(sum(latency_ms) AS DOUBLE), 6) AS latency_ms FROM traced GROUP BY 1) SELECT * FROM g WHERE tool_results >= 2 AND (duration_ms >= 60000 OR latency_ms >= 100)",
     "model_keys": f"WITH {TRACE_SQL}, m AS (SELECT session_id, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 2 = 0 THEN model ELSE 'model-x' END AS m FROM traced), g AS (SELECT session_id, count(DISTINCT m) AS n, string_agg(DISTINCT m, '|' ORDER BY m) AS ks FROM m GROUP BY 1) SELECT session_id, CASE n WHEN 0 THEN 'unknown' WHEN 1 THEN ks ELSE 'mixed:' || ks END AS model_key FROM g",
     "variant_pairs": f"WITH {_VP} SELECT * FROM vp",
-    "paired_totals": f"WITH {_VP}, g AS (SELECT count(*) AS pairs, CAST(sum(off_failures) AS BIGINT) AS off_failures, CAST(sum(on_failures) AS BIGINT) AS on_failures FROM vp), rr AS (SELECT *, round({_RED.format('off_failures', 'on_failures')}, 6) AS failure_reduction FROM g) SELECT *, concat_ws(',', CASE WHEN NOT pairs >= 3 THEN 'pairs' END, CASE WHEN NOT failure_reduction >= 0.1 THEN 'reduction' END) AS failures FROM rr",
+    "paired_totals": f"""WITH {_VP}, g AS (SELECT count(*) AS pairs, {", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("off_failures", "on_failures", "off_harmful", "on_harmful"))} FROM vp),
+h AS (SELECT *, round(CASE WHEN off_failures > 0 THEN off_harmful / off_failures ELSE 0 END, 6) AS off_rate, round(CASE WHEN on_failures > 0 THEN on_harmful / on_failures ELSE 0 END, 6) AS on_rate, round({_RED.format("off_failures", "on_failures")}, 6) AS failure_reduction FROM g),
+rr AS (SELECT *, round({_RED.format("off_rate", "on_rate")}, 6) AS rate_reduction FROM h) SELECT *, concat_ws(',', CASE WHEN NOT pairs >= 3 THEN 'pairs' END, CASE WHEN NOT failure_reduction >= 0.1 THEN 'reduction' END) AS failures FROM rr""",
+    "pairing_counters": f"""WITH {TRACE_SQL}, d AS (SELECT DISTINCT session_id, string_split(lower(trim(session_id)), '::') AS p FROM traced),
+s AS (SELECT CASE WHEN len(p) IN (3, 4) THEN nullif(trim(p[2]), '') END AS instance, CASE WHEN len(p) IN (3, 4) THEN nullif(trim(p[3]), '') END AS side, coalesce(CASE WHEN len(p) = 4 THEN nullif(trim(p[4]), '') END, 'r1') AS replicate FROM d),
+r AS (SELECT instance IS NOT NULL AS known, instance, replicate, count(*) FILTER (side = 'off') AS o, count(*) FILTER (side = 'on') AS w, count(*) AS n FROM s GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS sessions, CAST(coalesce(sum(n) FILTER (NOT known), 0) AS BIGINT) AS without_identity, CAST(coalesce(sum(o) FILTER (known), 0) AS BIGINT) AS off_sessions, CAST(coalesce(sum(w) FILTER (known), 0) AS BIGINT) AS on_sessions, CAST(coalesce(sum(n - o - w) FILTER (known), 0) AS BIGINT) AS other_sessions,
+  count(*) FILTER (known) AS runs, count(*) FILTER (known AND least(o, w) > 0) AS runs_with_both, CAST(coalesce(sum(least(o, w)) FILTER (known), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(o + w - 2 * least(o, w)) FILTER (known), 0) AS BIGINT) AS unpaired FROM r""",
     "variant_medians": f"WITH {TRACE_SQL}, s AS (SELECT session_id, model, variant, CAST(count(*) AS DOUBLE) AS events, CAST(sum(latency_ms) AS DOUBLE) AS latency FROM traced GROUP BY 1, 2, 3) SELECT model, variant, count(*) AS sessions, round(quantile_cont(events, 0.5), 6) AS events_median, round(quantile_cont(latency, 0.5), 6) AS latency_median FROM s GROUP BY 1, 2",
     "run_quality": f"WITH {TRACE_SQL}, s AS (SELECT session_id, variant, count(*) AS events, count(*) FILTER (type = 'checkpoint') AS checkpoints, count(*) FILTER (type = 'tool_result') AS tool_results FROM traced GROUP BY 1, 2), c AS (SELECT *, events <= 1 OR checkpoints < 1 OR tool_results < 1 AS censored FROM s) SELECT variant, count(*) AS sessions, count(*) FILTER (censored) AS censored, count(*) FILTER (checkpoints > 0) AS with_checkpoint, round(count(*) FILTER (censored) / count(*), 6) AS censor_rate FROM c GROUP BY 1",
     "feasibility": f"WITH {TRACE_SQL}, s AS (SELECT session_id, count(*) AS retries, min(k % 5) AS rank FROM traced WHERE is_failure GROUP BY 1), a AS (SELECT *, CASE rank WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.35 ELSE 0.0 END AS assist FROM s), b AS (SELECT *, CASE WHEN assist > 0 THEN greatest(1, CAST(ceil(retries * assist) AS BIGINT)) ELSE 0 END AS removed FROM a), g AS (SELECT count(*) AS scenarios, round(count(*) FILTER (rank = 1) / count(*), 6) AS hit1, round(count(*) FILTER (rank BETWEEN 1 AND 3) / count(*), 6) AS hit3, round(avg(CASE WHEN rank BETWEEN 1 AND 3 THEN 1.0 / CAST(rank AS DOUBLE) ELSE 0.0 END), 6) AS mrr, CAST(sum(retries) AS BIGINT) AS off_retries, CAST(sum(retries) - sum(removed) AS BIGINT) AS on_retries FROM b) SELECT *, concat_ws(',', CASE WHEN NOT hit1 >= 0.1 THEN 'hit1' END, CASE WHEN NOT hit3 >= 0.9 THEN 'hit3' END, CASE WHEN NOT mrr >= 0.3 THEN 'mrr' END, CASE WHEN NOT {_RED.format('off_retries', 'on_retries')} >= 0.25 THEN 'retries' END) AS failures FROM g",

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions import payload as P
-from tracelode.functions.metrics import checks, relative_reduction
 from tracelode.operators import issues, mining, search, suggest
 from tracelode.operators.bootstrap import bootstrap_reductions
 from tracelode.plans.adapter import traced
-from tracelode.plans.episode_queries import PAIR_SQL, pairs
-from tracelode.plans.text_queries import _HARM, _KIND
+from tracelode.plans.episode_queries import pairs
 from tracelode.sources import jsonl
 from tracelode.session import table
 
@@ -45,22 +43,6 @@ def command_usage(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy(issues.tool_surface(c).alias("surface")).agg(F.count("*").alias("calls"), F.count_if(c.contains("<<") | c.rlike(r"python3? -c ")).alias("inline_scripts"), F.count_if(c.contains("|")).alias("pipes"), F.sum(F.floor(F.length(c) / 4 + 0.5)).alias("tokens"))
 
 
-def trajectory_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Harmful and judgeable failures of paired episodes by classified kind, with the trajectory gate's checks."""
-    t = traced(spark, sf)
-    i = issues.classify(F.col("command"), F.col("output"))
-    w = Window.partitionBy("session_id").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = t.withColumn("grp", F.coalesce(F.sum(F.col("is_success").cast("int")).over(w), F.lit(0))).filter("is_failure")
-    per = grouped.groupBy("session_id", "grp").agg(F.min_by("seq", F.struct("ts_ms", "seq")).alias("start_seq"), F.count_if(i["harmful"]).alias("harmful"), F.count_if(~i["abstained"]).alias("judged"), F.count("*").alias("failures")).select("start_seq", "harmful", "judged", "failures")
-    p = pairs(spark, sf).filter("kept")
-    side = lambda s: per.select(F.col("start_seq").alias(f"{s}_start_seq"), *[F.col(c).alias(f"{s}_{c}") for c in ("harmful", "judged", "failures")])
-    j = p.select("off_start_seq", "on_start_seq").join(side("off"), "off_start_seq").join(side("on"), "on_start_seq")
-    sums = j.agg(F.count("*").alias("pairs"), *[F.coalesce(F.sum(f"{s}_{c}"), F.lit(0)).alias(f"{s}_{c}") for s in ("off", "on") for c in ("harmful", "judged", "failures")])
-    cover = lambda s: F.when(F.col(f"{s}_failures") > 0, F.col(f"{s}_judged") / F.col(f"{s}_failures")).otherwise(1.0)
-    out = sums.withColumns({"harmful_reduction": F.round(relative_reduction(F.col("off_harmful"), F.col("on_harmful")), 6), "off_coverage": F.round(cover("off"), 6), "on_coverage": F.round(cover("on"), 6)})
-    return out.withColumn("failures", checks(("pairs", F.col("pairs") >= 3), ("harmful", F.col("harmful_reduction") >= 0.2), ("off_coverage", F.col("off_coverage") >= 0.6), ("on_coverage", F.col("on_coverage") >= 0.6)))
-
-
 def reinvention_tips(spark: SparkSession, sf: str) -> DataFrame:
     """Commands of at least 20 characters against ordered rules; the first rule that matches wins."""
     c = P.squeeze(P.parsed(F.col("payload"))["command"])
@@ -84,7 +66,7 @@ def suggest_batch(spark: SparkSession, sf: str) -> DataFrame:
     return suggest.suggestions(docs, asked, mining.fixes(mining.fix_arcs(t)))
 
 
-QUERIES = {f.__name__: f for f in (trace_query, canonical_events, bundle_keys, event_metrics, command_usage, trajectory_gate, reinvention_tips, bootstrap_intervals, suggest_batch)}
+QUERIES = {f.__name__: f for f in (trace_query, canonical_events, bundle_keys, event_metrics, command_usage, reinvention_tips, bootstrap_intervals, suggest_batch)}
 
 _CMD = "json_extract_string(payload, '$.command')"
 SQL = {
@@ -94,12 +76,5 @@ SELECT ingest_seq, id, "timestamp", type FROM t WHERE (ts IS NULL OR ts >= TIMES
     "bundle_keys": """SELECT ingest_seq, CASE WHEN regexp_full_match("teamId", '[A-Za-z0-9_-]{1,64}') AND regexp_full_match(trim("sessionId"), '[A-Za-z0-9_.:-]{1,200}') AND regexp_full_match(lower("contentSha256"), '[0-9a-f]{64}') THEN 'teams/' || "teamId" || '/sessions/' || trim("sessionId") || '/' || lower("contentSha256") || '.jsonl.gz' END AS object_key FROM trace_bundles""",
     "event_metrics": "SELECT type, harness, count(*) AS events, count(*) FILTER (metrics.outcome = 'failure') AS failures, count(*) FILTER (metrics.outcome = 'success') AS successes, CAST(coalesce(sum(CAST(metrics.tokens.\"inputUncached\" AS DECIMAL(18,2))), 0) AS DOUBLE) AS input_tokens, CAST(coalesce(sum(CAST(metrics.tokens.output AS DECIMAL(18,2))), 0) AS DOUBLE) AS output_tokens FROM trace_events GROUP BY type, harness",
     "command_usage": f"WITH c AS (SELECT {_CMD} AS c FROM trace_events WHERE type = 'tool_result' AND json_valid(payload)), w AS (SELECT c, split_part(trim(c), ' ', 1) AS w FROM c WHERE c IS NOT NULL) SELECT CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in issues.SURFACES) + " ELSE 'other' END AS surface, count(*) AS calls, count(*) FILTER (contains(c, '<<') OR regexp_matches(c, 'python3? -c ')) AS inline_scripts, count(*) FILTER (contains(c, '|')) AS pipes, CAST(sum(floor(length(c) / 4 + 0.5)) AS BIGINT) AS tokens FROM w GROUP BY 1",
-    "trajectory_gate": f"""WITH {PAIR_SQL},
-cls AS (SELECT session_id, grp, seq, ts_ms, {_KIND} AS kind FROM islands WHERE is_failure),
-per AS (SELECT arg_min(seq, (ts_ms, seq)) AS start_seq, count(*) FILTER ({_HARM}) AS harmful, count(*) FILTER (kind <> 'unknown_failure') AS judged, count(*) AS failures FROM cls GROUP BY session_id, grp),
-j AS (SELECT a.harmful AS oh, a.judged AS oj, a.failures AS o_f, b.harmful AS nh, b.judged AS nj, b.failures AS nf FROM pairs p JOIN per a ON a.start_seq = p.off_start_seq JOIN per b ON b.start_seq = p.on_start_seq WHERE kept),
-s AS (SELECT count(*) AS pairs, CAST(coalesce(sum(oh), 0) AS BIGINT) AS off_harmful, CAST(coalesce(sum(oj), 0) AS BIGINT) AS off_judged, CAST(coalesce(sum(o_f), 0) AS BIGINT) AS off_failures, CAST(coalesce(sum(nh), 0) AS BIGINT) AS on_harmful, CAST(coalesce(sum(nj), 0) AS BIGINT) AS on_judged, CAST(coalesce(sum(nf), 0) AS BIGINT) AS on_failures FROM j),
-r AS (SELECT *, round(CASE WHEN off_harmful <= 0 THEN CASE WHEN on_harmful <= 0 THEN 0.0 ELSE -1.0 END ELSE (off_harmful - on_harmful) / off_harmful END, 6) AS harmful_reduction, round(CASE WHEN off_failures > 0 THEN off_judged / off_failures ELSE 1.0 END, 6) AS off_coverage, round(CASE WHEN on_failures > 0 THEN on_judged / on_failures ELSE 1.0 END, 6) AS on_coverage FROM s)
-SELECT *, concat_ws(',', CASE WHEN NOT pairs >= 3 THEN 'pairs' END, CASE WHEN NOT harmful_reduction >= 0.2 THEN 'harmful' END, CASE WHEN NOT off_coverage >= 0.6 THEN 'off_coverage' END, CASE WHEN NOT on_coverage >= 0.6 THEN 'on_coverage' END) AS failures FROM r""",
     "reinvention_tips": f"WITH c AS (SELECT ingest_seq, trim(regexp_replace({_CMD}, '[\\s\x0b\u00a0]+', ' ', 'g')) AS c FROM trace_events WHERE type = 'tool_call' AND json_valid(payload)), t AS (SELECT ingest_seq, CASE WHEN regexp_matches(c, '^(python|node) .*(-c|-e) ') THEN 'inline_script' WHEN regexp_matches(c, '^(rg|grep) ') THEN 'search' WHEN regexp_matches(c, '^(sed|awk) ') THEN 'text_edit' WHEN regexp_matches(c, '^curl ') THEN 'http' END AS tip FROM c WHERE length(c) >= 20) SELECT * FROM t WHERE tip IS NOT NULL",
 }

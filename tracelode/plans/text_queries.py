@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
 from tracelode.operators import issues, mining, search
+from tracelode.operators.ordered import predecessors, running
 from tracelode.plans.adapter import TRACE_SQL, traced
 from tracelode.session import table
 
@@ -64,8 +65,8 @@ def document_build(spark: SparkSession, sf: str) -> DataFrame:
 def jaccard_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Each episode's signature against the one before it in its source."""
     e = table(spark, sf, "episodes").dropDuplicates(["episode_no"])
-    w = Window.partitionBy("source").orderBy("episode_no")
-    return e.select("episode_no", "familySignature", F.lag("familySignature").over(w).alias("before")).filter("before is not null and familySignature is not null").select("episode_no", F.round(T.jaccard(F.col("familySignature"), F.col("before")), 6).alias("similarity"))
+    both = predecessors(e.select("episode_no", "familySignature", F.coalesce("source", F.lit("")).alias("source")), "source", ["episode_no"], ["familySignature"], "before_")
+    return both.filter("before_familySignature is not null and familySignature is not null").select("episode_no", F.round(T.jaccard(F.col("familySignature"), F.col("before_familySignature")), 6).alias("similarity"))
 
 
 def session_identity(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,22 +103,22 @@ def tool_surfaces(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy(issues.tool_surface(F.lower(F.trim("familySignature"))).alias("surface")).agg(F.count("*").alias("episodes"), F.count_distinct("source").alias("sources"))
 
 
-_HINTS = (("h-timeout", "timed out", 0.6, 1), ("h-module", "cannot find module", 0.8, 2), ("h-key", "api key", 0.7, 3), ("h-error", "error:", 0.5, 4), ("h-option", "unknown option", 0.8, 5))
+_HINTS = (("h-timeout", "timed out", 0.6, 1), ("h-module", "cannot find module", 0.8, 2), ("h-file", "no such file", 0.7, 3), ("h-error", "error", 0.5, 4), ("h-option", "no such option", 0.8, 5), ("h-lock", "lock", 0.7, 6))
 
 
 def error_hints(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame(list(_HINTS), "hint_id string, pattern string, confidence double, priority int")
     texts = traced(spark, sf).filter("is_failure").select("seq", "session_id", "output")
+    rules = [(hint, f"(?i){pattern}", confidence, priority) for hint, pattern, confidence, priority in _HINTS]
     return issues.match_rules(texts, rules, "output").select("seq", "session_id", "hint_id", "confidence")
 
 
 def hint_first_fire(spark: SparkSession, sf: str) -> DataFrame:
     """Once per session and hint: the first fire, with running counts."""
     h = error_hints(spark, sf)
-    w = Window.partitionBy("session_id", "hint_id").orderBy("seq")
-    run = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    marked = h.withColumn("fresh", (F.row_number().over(w) == 1).cast("int"))
-    return marked.select("seq", "session_id", "hint_id", (F.col("fresh") == 1).alias("fires"), F.count("*").over(run).alias("so_far"), F.sum("fresh").over(run).alias("distinct_so_far"))
+    first = h.groupBy("session_id", "hint_id").agg(F.min("seq").alias("first"))
+    marked = h.join(first, ["session_id", "hint_id"]).withColumn("fires", F.col("seq") == F.col("first"))
+    counted = running(marked.select("seq", "session_id", "hint_id", "fires"), "session_id", ["seq"], so_far=F.lit(1), distinct_so_far=F.col("fires"))
+    return counted.select("seq", "session_id", "hint_id", "fires", (F.col("so_far") + 1).alias("so_far"), (F.col("distinct_so_far") + F.col("fires").cast("long")).alias("distinct_so_far"))
 
 
 def hint_policy_memory(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,26 +144,47 @@ def _bm25_sql(src: str, name: str, k: int, where: str = "") -> str:
 {name} AS (SELECT * FROM (SELECT query_id, doc, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first_at, doc) AS INTEGER) AS rank FROM {name}_sc) AS r WHERE rank <= {k})"""
 
 
-_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[0-9a-f]{{8,}}', '<hex>', 'g'), '(^|[^a-z0-9_])[0-9]+($|[^a-z0-9_])', '\\1<num>\\2', 'g'), '(^|[^a-z0-9_])[0-9]+($|[^a-z0-9_])', '\\1<num>\\2', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[0-9a-f]{{8,}}', '<hex>', 'g'), '\\b[0-9]+\\b', '<num>', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 _JW = "list_distinct(list_filter(string_split(" + _NORM + ", ' '), lambda w: length(w) > 2))"
-_ISSUE = "lower(command || ' ' || output)"
-_KIND = f"""CASE WHEN regexp_matches({_ISSUE}, 'timed? ?out|connection (reset|refused)|rate limit') THEN 'transient_external' WHEN regexp_matches({_ISSUE}, 'evaluation gate|no checks reported') THEN 'benign_probe'
- WHEN regexp_matches({_ISSUE}, 'unknown option') THEN 'command_mismatch' WHEN regexp_matches({_ISSUE}, 'missing api key') THEN 'missing_context' WHEN regexp_matches({_ISSUE}, 'cannot find module') THEN 'environment_mismatch'
- WHEN trim(output) IN ('', '(no output)') THEN 'environment_mismatch' ELSE 'unknown_failure' END"""
-_CONF = f"CASE WHEN regexp_matches({_ISSUE}, 'timed? ?out') THEN 0.84 WHEN regexp_matches({_ISSUE}, 'evaluation gate') THEN 0.80 WHEN regexp_matches({_ISSUE}, 'no checks reported') THEN 0.78 WHEN regexp_matches({_ISSUE}, 'unknown option') THEN 0.9 WHEN regexp_matches({_ISSUE}, 'missing api key') THEN 0.78 WHEN regexp_matches({_ISSUE}, 'cannot find module') THEN 0.86 WHEN trim(output) IN ('', '(no output)') THEN 0.55 ELSE 0.35 END"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CLEAN = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({0}, '\x1b\[[0-9;]*m', '', 'g')), '[0-9a-f]{{8,}}', '<hex>', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"
+
+
+def _says(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, '{pattern.replace(chr(39), chr(39) * 2)}', 'i')"
+
+
+_BOTH, _LINE, _BARE = f"({_CLEAN.format('command')} || chr(10) || {_CLEAN.format('output')})", f"lower({_STRIP.format('command')})", _STRIP.format("output")
+_PARTS = f"list_filter(list_transform(string_split_regex({_LINE}, '&&|\\|\\||;'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+_PROBE = f"(list_contains({list(issues.PROBES)}, string_split_regex(coalesce({_PARTS}[-1], {_LINE}), '\\s+')[1]) AND NOT {_says(_LINE, issues.NO_PROBE)})"
+#: Number of the first rule that holds, then what the rules say.
+_RULE = f"""CASE WHEN {_says(_BOTH, issues.TRANSIENT)} OR ({_says("output", issues.TRACEBACK)} AND {_says("command", issues.TRACEBACK_COMMAND)}) THEN 1
+ WHEN {_says("command", issues.GATE_COMMAND)} AND {_says("output", issues.GATE_OUTPUT)} THEN 2
+ WHEN {_says("command", issues.CHECKS_COMMAND)} AND {_says("output", issues.CHECKS_OUTPUT)} THEN 3
+ WHEN {_PROBE} AND ({_BARE} IN ('', '(no output)') OR {_says("output", issues.PROBE_FAILURE)}) THEN 4
+ WHEN {_says(_BOTH, issues.COMMAND_MISMATCH)} THEN 5
+ WHEN {_says(_BOTH, issues.MISSING_CONTEXT)} OR ({_says("output", issues.AUTH_OUTPUT)} AND {_says("command", issues.AUTH_COMMAND)}) THEN 6
+ WHEN {_says(_BOTH, issues.ENVIRONMENT_MISMATCH)} THEN 7 WHEN {_BARE} = '' OR starts_with({_BARE}, '(no output)') THEN 8 ELSE 9 END"""
+_KIND = f"['transient_external', 'benign_probe', 'benign_probe', 'benign_probe', 'command_mismatch', 'missing_context', 'environment_mismatch', 'environment_mismatch', 'unknown_failure'][{_RULE}]"
+_CONF = f"[0.84, 0.80, 0.78, 0.82, 0.90, 0.78, 0.86, 0.55, 0.35][{_RULE}]"
 _ISSUES = f"{TRACE_SQL}, issues AS (SELECT *, {_KIND} AS kind, {_CONF} AS confidence FROM traced WHERE is_failure)"
 _HARM = "kind IN ('command_mismatch', 'missing_context', 'environment_mismatch')"
-_HINT_SQL = f"{TRACE_SQL}, rules(hint_id, pattern, confidence, priority) AS (VALUES {', '.join(str(h) for h in _HINTS)}), hits AS (SELECT seq, session_id, hint_id, CAST(confidence AS DOUBLE) AS confidence, row_number() OVER (PARTITION BY seq ORDER BY confidence DESC, priority) AS rn FROM traced JOIN rules ON regexp_matches(output, pattern) WHERE is_failure), hints AS (SELECT seq, session_id, hint_id, confidence FROM hits WHERE rn = 1)"
-_ARCS = f"""{TRACE_SQL}, calls AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM traced WHERE type = 'tool_result'),
-arcs AS (SELECT f.session_id, f.seq AS failure_seq, arg_min(s.seq, s.seq) AS success_seq, any_value(f.command) AS failure_sig, arg_min(s.command, s.seq) AS success_sig
-  FROM calls f JOIN calls s ON f.session_id = s.session_id AND s.i BETWEEN f.i + 1 AND f.i + 6 AND NOT s.is_failure AND s.command <> f.command WHERE f.is_failure GROUP BY f.session_id, f.seq)"""
+_HINT_SQL = f"{TRACE_SQL}, rules(hint_id, pattern, confidence, priority) AS (VALUES {', '.join(str(h) for h in _HINTS)}), hits AS (SELECT seq, session_id, hint_id, CAST(confidence AS DOUBLE) AS confidence, row_number() OVER (PARTITION BY seq ORDER BY confidence DESC, priority) AS rn FROM traced JOIN rules ON regexp_matches(output, pattern, 'i') WHERE is_failure), hints AS (SELECT seq, session_id, hint_id, confidence FROM hits WHERE rn = 1)"
+_ERR = "(?i)(error|exception|failed|failure|fatal|panic|traceback|not found|denied|cannot|unable to)"
+_ERRS = f"list_transform(list_filter(string_split(output, chr(10)), lambda x: regexp_matches(x, '{_ERR}')), lambda x: substr({_NORM.format('x')}, 1, 240))"
+_FIRST_ERR = f"{_ERRS}[1]"
+_SIG = f"coalesce(nullif(substr({_NORM.format('command')}, 1, 240), ''), {_FIRST_ERR}, substr(output, 1, 120))"
+_ARCS = f"""{TRACE_SQL}, calls AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i, {_JW.format("command")} AS words, {_SIG} AS sig, substr({_NORM.format("command")}, 1, 240) AS short FROM traced WHERE type = 'tool_result'),
+met AS (SELECT f.session_id, f.seq AS failure_seq, f.sig AS failure_sig, s.seq AS success_seq, s.short AS success_sig, trim(f.command) AS a, trim(s.command) AS b, len(list_intersect(f.words, s.words)) AS shared, len(list_distinct(list_concat(f.words, s.words))) AS every
+  FROM calls f JOIN calls s ON f.session_id = s.session_id AND s.i BETWEEN f.i + 1 AND f.i + 6 AND NOT s.is_failure WHERE f.is_failure),
+arcs AS (SELECT session_id, failure_seq, min(success_seq) AS success_seq, any_value(failure_sig) AS failure_sig, arg_min(success_sig, success_seq) AS success_sig
+  FROM met WHERE NOT (a <> '' AND b <> '' AND (a = b OR CASE WHEN every = 0 THEN true ELSE shared >= 0.95 * every END)) GROUP BY session_id, failure_seq)"""
 
 QUERIES = {
     f.__name__: f
     for f in (text_normalize, error_lines, path_counts, term_statistics, bm25_topk, bm25_filtered, rrf_fuse, document_build, jaccard_neighbours, session_identity, canary_assignment, prompt_bounding, mine_fixes, fix_lookahead, issue_kinds, tool_surfaces, error_hints, hint_first_fire, hint_policy_memory)
 }
 
-_ERR = "(?i)(error|exception|failed|failure|fatal|panic|traceback|not found|denied|cannot|unable to)"
 SQL = {
     "text_normalize": f"SELECT DISTINCT episode_no, substr({_NORM.format('\"familySignature\"')}, 1, 240) AS signature FROM episodes",
     "term_statistics": f"WITH {_POST.format(src='documents', n='t')} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM t_p GROUP BY term",
@@ -173,11 +195,12 @@ SQL = {
 u AS (SELECT query_id, doc, 1.25 / (60 + rank) AS s, rank AS r1, NULL AS r2 FROM b UNION ALL SELECT query_id, doc, 1.0 / (60 + rank), NULL, rank FROM h),
 f AS (SELECT query_id, doc, sum(s) AS score, min(r1) AS r1, min(r2) AS r2 FROM u GROUP BY query_id, doc)
 SELECT * FROM (SELECT query_id, doc AS doc_id, round(CAST(score AS DOUBLE), 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(score AS DOUBLE), 9) DESC, r1 ASC NULLS LAST, r2 ASC NULLS LAST, doc) AS INTEGER) AS rank FROM f) AS r WHERE rank <= 10""",
-    "document_build": f"""WITH {TRACE_SQL}, t AS (SELECT id, trim(regexp_replace(type || ' ' || command || ' ' || output, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS base, output FROM traced WHERE type = 'tool_result')
-SELECT id || ':base' AS doc_id, id AS event_id, 'base' AS kind, base AS text FROM t
-UNION ALL SELECT id || ':err:0', id, 'err', {_NORM.format("output")} FROM t WHERE regexp_matches(output, '{_ERR}')
-UNION ALL SELECT id || ':path:0', id, 'path', regexp_extract(output, '[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\\.[A-Za-z0-9]+') FROM t WHERE regexp_matches(output, '[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\\.[A-Za-z0-9]+')""",
-    "jaccard_neighbours": f"""WITH e AS (SELECT DISTINCT episode_no, "familySignature" AS f, source FROM episodes), l AS (SELECT episode_no, f, lag(f) OVER (PARTITION BY source ORDER BY episode_no) AS b FROM e),
+    "document_build": f"""WITH {TRACE_SQL}, t AS (SELECT id, trim(regexp_replace(type || ' ' || command || ' ' || output, '[ \t\n\r\f]+', ' ', 'g')) AS base, {_ERRS} AS errs, regexp_extract_all(output, '[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\\.[A-Za-z0-9]+') AS paths FROM traced WHERE type = 'tool_result'),
+d AS (SELECT *, list_filter(errs, lambda x, i: list_position(errs, x) = i)[1:8] AS e, list_filter(paths, lambda x, i: list_position(paths, x) = i)[1:12] AS p FROM t)
+SELECT id || ':base' AS doc_id, id AS event_id, 'base' AS kind, CASE WHEN length(base) > 6000 THEN substr(base, 1, 6000) || chr(10) || '...[truncated]' ELSE base END AS text FROM d
+UNION ALL SELECT id || ':err:' || (generate_subscripts(e, 1) - 1), id, 'err', unnest(e) FROM d
+UNION ALL SELECT id || ':path:' || (generate_subscripts(p, 1) - 1), id, 'path', unnest(p) FROM d""",
+    "jaccard_neighbours": f"""WITH e AS (SELECT DISTINCT episode_no, "familySignature" AS f, source FROM episodes), l AS (SELECT episode_no, f, lag(f) OVER (PARTITION BY coalesce(source, '') ORDER BY episode_no) AS b FROM e),
 w AS (SELECT episode_no, {_JW.format("f")} AS x, {_JW.format("b")} AS y FROM l WHERE f IS NOT NULL AND b IS NOT NULL)
 SELECT episode_no, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS similarity FROM w""",
     "session_identity": """WITH s AS (SELECT DISTINCT "sessionId", string_split(lower(trim("sessionId")), '::') AS p FROM episodes) SELECT "sessionId", nullif(trim(p[2]), '') AS instance, nullif(trim(p[3]), '') AS variant, coalesce(nullif(trim(p[4]), ''), 'r1') AS replicate FROM s WHERE len(p) IN (3, 4) AND trim(p[2]) <> ''""",
