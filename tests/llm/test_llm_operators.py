@@ -90,6 +90,34 @@ def test_conversations(spark):
     assert conversations.session_verdicts(df.limit(0)).count() == 0
 
 
+def test_segments_do_not_depend_on_partitions(spark):
+    rnd = random.Random(6)
+    rows, at = [], {"hot": 0, "b": 0}
+    for i in range(300):
+        s = "hot" if rnd.random() < 0.8 else "b"
+        at[s] += 5000 if rnd.random() < 0.05 else 20
+        stamp = f"2026-01-{1 + at[s] // 86400:02d}T{at[s] // 3600 % 24:02d}:{at[s] // 60 % 60:02d}:{at[s] % 60:02d}Z"
+        rows.append(event(i, s, "hi", kind="user_input" if i % 2 == 0 else "assistant_output", at=stamp))
+    want = {s: 1 + sum(1 for a, b in zip(t, t[1:]) if b - a > 3600e6) for s in at for t in [[r for r in sorted(conv_time(r) for r in rows if r[3] == s)]]}
+    df, got = spark.createDataFrame(rows, EVENT), []
+    for parts in (1, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got.append(sorted(tuple(r) for r in conversations.session_verdicts(df, gap_seconds=3600).collect()))
+        turns = conversations.sorted_turns(df)
+        got.append(conversations.calibrated_gap_us(turns, 0.5, 0.0))
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert got[0] == got[2] and got[1] == got[3] == 20e6
+    assert {r[0]: r[2] for r in got[0]} == want
+
+
+def conv_time(row):
+    from datetime import datetime
+
+    return datetime.fromisoformat(row[2].replace("Z", "+00:00")).timestamp() * 1e6
+
+
 def brute_pairs(rows):
     seen = {}
     for no, sig, _, split, *_ in rows:
@@ -329,11 +357,22 @@ def test_personal_details(spark):
     for r in rows:
         got.setdefault(r.kind, set()).add(r.found)
     assert got == WANT and len(rows) == sum(map(len, WANT.values()))
-    clean = {r.doc_id: r.text for r in personal.redact(df, roster).collect()}
+    clean = {r.doc_id: r.text for r in personal.redact(df, roster, "k").collect()}
     assert clean[2] is None and clean[3] == "" and not any(x in clean[1] for v in WANT.values() for x in v) and "[name: " in clean[1]
     assert personal.find_details(df.limit(0), roster).count() == 0 and personal.find_details(df, roster.limit(0)).filter("kind = 'email'").count() == 2
 
 
+def test_roster_of_any_size(spark):
+    docs = spark.createDataFrame([(1, TEXT, "s", None, None), (2, "cc Remax Krasova and Anna Festanova, please", "s", None, None), (3, None, "s", None, None), (3, "", "s", None, None), (None, "Thanks to Nijen Flundmar.", "s", None, None)], DOC)
+    people = spark.createDataFrame([*PEOPLE, *[(f"b{i}", f"Vor{chr(97 + i)}x Mur{chr(97 + i)}kova", "t") for i in range(20)]], ROSTER)
+    rows = lambda **kw: sorted((r.doc_id or -1, r.kind, r.found) for r in personal.find_details(docs, people, **kw).collect())
+    assert rows(max_roster=3) == rows()
+    texts = lambda **kw: sorted((r.doc_id or -1, r.text or "") for r in personal.redact(docs, people, "k", **kw).collect())
+    assert texts(max_roster=3) == texts()
+    with pytest.raises(ValueError):
+        personal.redact(docs, people, "")
+
+
 def test_surrogates_are_distinct_and_stable():
     lex = personal.Lexicon([p[1] for p in PEOPLE])
     text = "Thanks to Remax Krasova and thanks to R. Krasova. Frau Dozol Lulmar, +1 646-555-0145, +1 646-555-0146"
@@ -364,7 +403,7 @@ def test_a_person_has_one_gender_in_all_documents(spark):
     texts = [f"Frau {n} said no." for n in people] + [f"cc {n}, please." for n in people] * 2 + [f"Herr {people[0]} said no."] * 3 + [None]
     df = spark.createDataFrame([(k if k else None, t, "s", None, None) for k, t in enumerate(texts)], DOC)
     roster = spark.createDataFrame([("a", n, "t") for n in people], ROSTER)
-    clean = {r.doc_id: r.text for r in personal.redact(df, roster).collect()}
+    clean = {r.doc_id: r.text for r in personal.redact(df, roster, "k").collect()}
     assert len(clean) == len(texts)
     new = [clean[k or None].split("[name: ")[1].split("]")[0] for k in range(60)]
     assert new[:20] == new[20:40] == new[40:] and len(set(new)) == 20

@@ -5,9 +5,10 @@ and split into segments at inactivity gaps; the gap is calibrated on the gaps of
 session is dropped when it has a payload that is no valid JSON, no message, an assistant message first, or a user
 message without a reply before the next user message or the end.
 
-Each sorted piece of a session is reduced to a summary (messages, roles at both ends, unanswered user messages within,
-broken payloads), and the summaries are folded in order, so a session that holds a third of the rows is never in one
-task.
+The rows are sorted and written once without their texts; the gap is calibrated on them, and they are split and judged from
+there. Each stretch of a session in a task is reduced to a summary (messages, segments, roles at both ends, unanswered user
+messages, broken payloads), and the summaries are folded in order, so a session that holds a third of the rows is never in
+one task. A reply that comes after a gap is a reply: a session is judged by what its segments, in order, leave unanswered.
 
 Defined results: rows without session id or readable timestamp are left out (after a redelivered id has been reduced to
 its first arrival); null payloads and texts of only white space are no messages; an empty or blank payload string is no
@@ -16,6 +17,8 @@ valid JSON; several assistant messages in a row are fine; an empty table gives n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -50,63 +53,98 @@ def message_rows(events: DataFrame, with_text: bool = False) -> DataFrame:
     return first_arrival(narrow, "id", "ingest_seq", columns).filter("session_id is not null and ts is not null")
 
 
-_SUMMARY = "session_id STRING, piece LONG, messages LONG, first_role TINYINT, last_role TINYINT, unanswered LONG, broken LONG"
-
-
-def _summarise(t: pa.Table, number: int) -> pa.Table:
-    """One row per session of a sorted piece; user messages that another user message follows are unanswered."""
-    sid = t["session_id"].combine_chunks().dictionary_encode()
-    code = sid.indices.to_numpy()
-    role, is_msg, broken = (t[c].to_numpy(zero_copy_only=False) for c in ("role", "is_message", "broken"))
-    k = len(sid.dictionary)
-    at = np.flatnonzero(is_msg)
-    c, r = code[at], role[at].astype(np.int8)
-    first, last = np.full(k, -1, dtype=np.int8), np.full(k, -1, dtype=np.int8)
-    last[c] = r
-    first[c[::-1]] = r[::-1]
-    twice = (c[1:] == c[:-1]) & (r[1:] == USER) & (r[:-1] == USER)
-    count = lambda x: np.bincount(x, minlength=k).astype(np.int64)
-    return pa.table(
-        {
-            "session_id": sid.dictionary.cast(pa.string()), "piece": pa.array(np.full(k, number)), "messages": pa.array(count(c)), "first_role": pa.array(first), "last_role": pa.array(last),
-            "unanswered": pa.array(count(c[1:][twice])), "broken": pa.array(count(code[np.flatnonzero(broken)])),
-        }
-    )
+_TURN = "session_id STRING, piece LONG, at LONG, ts LONG, role TINYINT, is_message BOOLEAN, broken BOOLEAN, gap LONG"
+_SUMMARY = "session_id STRING, piece LONG, at LONG, messages LONG, first_role TINYINT, last_role TINYINT, unanswered LONG, segments LONG, broken LONG"
 
 
-def session_verdicts(events: DataFrame) -> DataFrame:
-    """One row per session: messages, unanswered, starts_with_assistant, broken, dropped."""
-    pieces = sorted_pieces(message_rows(events).select("session_id", "ts", "ingest_seq", "role", "is_message", "broken"), "session_id", ["ts", "ingest_seq"], _summarise, _SUMMARY)
-    # The fold over a session's pieces, of which there are no more than partitions (and fixed-size chunks in them).
-    ordered = F.array_sort(F.collect_list(F.when(F.col("messages") > 0, F.struct("piece", "first_role", "last_role"))))
-    zero = F.struct(F.lit(-1).cast("tinyint").alias("last"), F.lit(0).cast("bigint").alias("twice"))
-    step = lambda acc, x: F.struct(x["last_role"].alias("last"), (acc["twice"] + F.when((acc["last"] == USER) & (x["first_role"] == USER), 1).otherwise(0)).alias("twice"))
-    folded = pieces.groupBy("session_id").agg(
-        F.sum("messages").alias("messages"), F.sum("unanswered").alias("inner"), F.sum("broken").alias("broken"),
-        F.min_by("first_role", F.when(F.col("messages") > 0, F.col("piece"))).alias("first_role"),
-        F.aggregate(ordered, zero, step).alias("f"),
-    )
-    unanswered = F.col("inner") + F.col("f.twice") + F.when(F.col("f.last") == USER, 1).otherwise(0)
-    return folded.select(
-        "session_id", "messages", unanswered.alias("unanswered"), F.coalesce(F.col("first_role") == ASSISTANT, F.lit(False)).alias("starts_with_assistant"), (F.col("broken") > 0).alias("broken"),
-    ).withColumn("dropped", F.col("broken") | (F.col("messages") == 0) | F.col("starts_with_assistant") | (F.col("unanswered") > 0))
+def _turns(t: pa.Table, number: int) -> pa.Table:
+    """The rows of a sorted piece with their place in it, and for messages the time since the message before (null at the start)."""
+    code = t["session_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    ts, msg = t["ts"].to_numpy(), t["is_message"].to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(msg)
+    gap, known = np.zeros(len(ts), dtype=np.int64), np.zeros(len(ts), dtype=bool)
+    if len(at) > 1:
+        gap[at[1:]] = ts[at[1:]] - ts[at[:-1]]
+        known[at[1:]] = code[at[1:]] == code[at[:-1]]
+    return pa.table({"session_id": t["session_id"], "piece": pa.array(np.full(len(ts), number)), "at": pa.array(np.arange(len(ts))), "ts": t["ts"], "role": t["role"], "is_message": t["is_message"], "broken": t["broken"], "gap": pa.array(gap, mask=~known)})
+
+
+def sorted_turns(events: DataFrame) -> DataFrame:
+    """The message rows without texts, sorted and written once; gaps are exact: those over the edges of pieces are filled in."""
+    rows = stored(sorted_pieces(message_rows(events).select("session_id", "ts", "ingest_seq", "role", "is_message", "broken"), "session_id", ["ts", "ingest_seq"], _turns, _TURN), "turns")
+    ends = rows.filter("is_message").groupBy("session_id", "piece").agg(F.min(F.struct("at", "ts")).alias("a"), F.max("ts").alias("t1"))
+    w = Window.partitionBy("session_id").orderBy("piece")
+    # Only sessions that lie in several pieces have such edges: no more rows than pieces.
+    edges = ends.withColumn("edge", F.col("a.ts") - F.lag("t1").over(w)).filter("edge is not null").select("session_id", "piece", F.col("a.at").alias("at"), "edge")
+    return rows.join(F.broadcast(edges), ["session_id", "piece", "at"], "left").withColumn("gap", F.coalesce("gap", "edge")).drop("edge")
 
 
-def calibrated_gap_us(events: DataFrame, share: float = 0.995, floor_seconds: float = 1800.0) -> float:
+def calibrated_gap_us(turns: DataFrame, share: float = 0.995, floor_seconds: float = 1800.0) -> float:
     """An inactivity gap in microseconds: the `share` quantile of all gaps between messages of a session, at least the floor.
 
-    The quantile is approximate with an error of a thousandth of the rows, whatever their number. Pieces at partition
-    edges miss at most one gap each.
+    The quantile is approximate with an error of a thousandth of the rows, whatever their number.
     """
+    found = turns.agg(F.percentile_approx("gap", share, 1000).alias("g")).first()["g"]
+    return max(floor_seconds * 1e6, found or 0.0)
 
-    def gaps(t: pa.Table, number: int) -> pa.Table:
-        code = t["session_id"].combine_chunks().dictionary_encode().indices.to_numpy()
-        ts = t["ts"].to_numpy()
-        return pa.table({"gap": pa.array((ts[1:] - ts[:-1])[code[1:] == code[:-1]].astype(np.float64))})
 
-    rows = sorted_pieces(message_rows(events).filter("is_message").select("session_id", "ts", "ingest_seq"), "session_id", ["ts", "ingest_seq"], gaps, "gap DOUBLE")
-    found = rows.agg(F.percentile_approx("gap", share, 1000).alias("g")).first()["g"]
-    return max(floor_seconds * 1e6, found or 0.0)
+def _summaries(limit: float):
+    """Stretches of a session as they lie in a task: split at inactivity gaps, each segment judged, and folded in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            sid = t["session_id"].combine_chunks().dictionary_encode()
+            code, piece, at = sid.indices.to_numpy(), t["piece"].to_numpy(), t["at"].to_numpy()
+            new = np.append(True, (code[1:] != code[:-1]) | (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1))
+            stretch = np.cumsum(new) - 1
+            k, start = int(stretch[-1]) + 1, np.flatnonzero(new)
+            msg = np.flatnonzero(t["is_message"].to_numpy(zero_copy_only=False))
+            role, of = t["role"].to_numpy()[msg].astype(np.int8), stretch[msg]
+            gap = np.nan_to_num(t["gap"].to_numpy(zero_copy_only=False).astype(np.float64)[msg], nan=-1.0)
+            first, last = np.full(k, -1, dtype=np.int8), np.full(k, -1, dtype=np.int8)
+            last[of] = role
+            first[of[::-1]] = role[::-1]
+            count = lambda x: np.bincount(x, minlength=k).astype(np.int64)
+            # Within a segment a user message that another one follows has no reply; over a gap it has none either, unless
+            # the next segment opens with the assistant: neighbours are compared in both cases.
+            twice = (of[1:] == of[:-1]) & (role[1:] == USER) & (role[:-1] == USER) if len(msg) else np.zeros(0, dtype=bool)
+            split = gap > limit
+            broken = np.flatnonzero(t["broken"].to_numpy(zero_copy_only=False))
+            yield from pa.table(
+                {
+                    "session_id": sid.dictionary.take(pa.array(code[start])).cast(pa.string()), "piece": pa.array(piece[start]), "at": pa.array(at[start]), "messages": pa.array(count(of)), "first_role": pa.array(first), "last_role": pa.array(last),
+                    "unanswered": pa.array(count(of[1:][twice])), "segments": pa.array(count(of[split])), "broken": pa.array(count(stretch[broken])),
+                }
+            ).to_batches()
+
+    return run
+
+
+def session_verdicts(events: DataFrame, gap_seconds: float | None = None) -> DataFrame:
+    """One row per session: messages, segments (between inactivity gaps), unanswered, starts_with_assistant, broken, dropped."""
+    turns = sorted_turns(events)
+    return verdicts(turns, calibrated_gap_us(turns) if gap_seconds is None else gap_seconds * 1e6)
+
+
+def verdicts(turns: DataFrame, gap_us: float) -> DataFrame:
+    """The verdicts of `sorted_turns` for a gap."""
+    pieces = turns.mapInArrow(_summaries(gap_us), _SUMMARY)
+    # The fold over a session's stretches, of which there are no more than batches that hold it.
+    ordered = F.array_sort(F.collect_list(F.when(F.col("messages") > 0, F.struct("piece", "at", "first_role", "last_role"))))
+    zero = F.struct(F.lit(-1).cast("tinyint").alias("last"), F.lit(0).cast("bigint").alias("twice"))
+    step = lambda acc, x: F.struct(x["last_role"].alias("last"), (acc["twice"] + F.when((acc["last"] == USER) & (x["first_role"] == USER), 1).otherwise(0)).alias("twice"))
+    folded = pieces.groupBy("session_id").agg(
+        F.sum("messages").alias("messages"), F.sum("unanswered").alias("inner"), F.sum("broken").alias("broken"), F.sum("segments").alias("gaps"),
+        F.min_by("first_role", F.when(F.col("messages") > 0, F.struct("piece", "at"))).alias("first_role"), F.aggregate(ordered, zero, step).alias("f"),
+    )
+    unanswered = F.col("inner") + F.col("f.twice") + F.when(F.col("f.last") == USER, 1).otherwise(0)
+    return folded.select(
+        "session_id", "messages", F.when(F.col("messages") > 0, F.col("gaps") + 1).otherwise(0).alias("segments"), unanswered.alias("unanswered"),
+        F.coalesce(F.col("first_role") == ASSISTANT, F.lit(False)).alias("starts_with_assistant"), (F.col("broken") > 0).alias("broken"),
+    ).withColumn("dropped", F.col("broken") | (F.col("messages") == 0) | F.col("starts_with_assistant") | (F.col("unanswered") > 0))
 
 
 def conversations(events: DataFrame, gap_seconds: float | None = None) -> DataFrame:
@@ -115,7 +153,8 @@ def conversations(events: DataFrame, gap_seconds: float | None = None) -> DataFr
     `position` counts from 0 over the session, `segment` counts the stretches between inactivity gaps. Both are
     exact across pieces: a piece numbers its own rows, and the counts of the pieces before it are added.
     """
-    gap = calibrated_gap_us(events) if gap_seconds is None else gap_seconds * 1e6
+    turns = sorted_turns(events)
+    gap = calibrated_gap_us(turns) if gap_seconds is None else gap_seconds * 1e6
 
     def number(t: pa.Table, piece: int) -> pa.Table:
         code = t["session_id"].combine_chunks().dictionary_encode().indices.to_numpy()
@@ -127,9 +166,9 @@ def conversations(events: DataFrame, gap_seconds: float | None = None) -> DataFr
         role = np.where(t["role"].to_numpy() == USER, "user", "assistant")
         return pa.table({"session_id": t["session_id"], "piece": pa.array(np.full(len(ts), piece)), "at": pa.array(np.arange(len(ts)) - start), "breaks": pa.array(before - before[start]), "ts": t["ts"], "role": pa.array(role.tolist()), "text": t["text"]})
 
-    keep = session_verdicts(events).filter("not dropped").select("session_id")
+    keep = verdicts(turns, gap).filter("not dropped").select("session_id")
     kept = message_rows(events, with_text=True).filter("is_message").select("session_id", "ts", "ingest_seq", "role", "text").join(keep, "session_id", "left_semi")
-    rows = stored(sorted_pieces(kept, "session_id", ["ts", "ingest_seq"], number, "session_id STRING, piece LONG, at LONG, breaks LONG, ts LONG, role STRING, text STRING"), "turns")
+    rows = stored(sorted_pieces(kept, "session_id", ["ts", "ingest_seq"], number, "session_id STRING, piece LONG, at LONG, breaks LONG, ts LONG, role STRING, text STRING"), "texts")
     sizes = rows.groupBy("session_id", "piece").agg(F.max("at").alias("a"), F.max("breaks").alias("b"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     w = Window.partitionBy("session_id").orderBy("piece")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -13,8 +13,9 @@ before that name in the whole corpus tell, and the given name is from its list;
 from both lists. Within a text, different details never share a surrogate (the key is stepped on until none collides),
 and the same detail has the same one over the whole corpus, except where such a collision stepped one of them on.
 
-The roster is broadcast after a check of its size; without it, or with one that is too large, contexts decide alone and
-the roster's words are joined in as stated in `lexicon`.
+A roster of at most `MAX_ROSTER` people is broadcast after a check of its size. A larger one is joined in: the capitalised
+words of each document meet the roster's words, and every document is read with the part of the roster that its own words
+can touch, which gives the same details (`lexicons`).
 
 Defined results: null, empty and blank texts hold nothing and come back as they are; a detail is listed once per document
 and kind, exactly as it stands; very long texts are read whole; extra columns are ignored.
@@ -117,8 +118,9 @@ def fold(word: str) -> str:
 class Lexicon:
     """Given names, family names and family endings of the known people."""
 
-    def __init__(self, names: list[str], least: int = 3):
+    def __init__(self, names: list[str], least: int = 3, endings: tuple[str, ...] | None = None):
         parts = [[fold(x) for x in re.split(r"\s+", n.strip()) if x] for n in names if n and n.strip()]
+        self.some = bool(parts) or bool(endings)
         self.given = frozenset(p[0] for p in parts if len(p) > 1)
         self.family = frozenset(p[-1] for p in parts)
         #: Given names of the known people by initial and family name.
@@ -127,7 +129,7 @@ class Lexicon:
             if len(p) > 1:
                 self.people.setdefault((p[0][:1], p[-1]), set()).add(p[0])
         ends = Counter(f[-k:] for f in self.family for k in (2, 3, 4) if len(f) > k + 2)
-        self.endings = tuple(e for e, n in ends.items() if n >= max(least, len(self.family) // 60))
+        self.endings = tuple(e for e, n in ends.items() if n >= max(least, len(self.family) // 60)) if endings is None else endings
 
     def family_like(self, word: str) -> bool:
         f = fold(word)
@@ -165,7 +167,7 @@ def _names(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
             good = known_family and (known_given or cue) or known_given and (family_like or cue) or cue and family_like or known_family and not comma and not text[start].islower()
         else:
             good = known_family or family_like and cue
-        if not good and cue and not lexicon.family:
+        if not good and cue and not lexicon.some:
             good = True
         if good:
             yield start, end
@@ -364,60 +366,100 @@ def redacted(text: str | None, lexicon: Lexicon, key: bytes, genders: dict[str,
     return "".join([*out, text[at:]])
 
 
-def lexicon(roster: DataFrame) -> Lexicon:
-    """The lexicon of a roster of at most MAX_ROSTER people, which is checked before it is collected."""
+def capitalised(text: str | None) -> list[str]:
+    """The distinct words of a text that a name of it could be made of, folded."""
+    return sorted({fold(w) for w in _CAPITALISED.findall(text)} - {""}) if text else []
+
+
+_CAPITALISED = re.compile(rf"(?<![^\W\d_]){_CAP}")
+
+
+def lexicons(docs: DataFrame, roster: DataFrame, most: int = MAX_ROSTER) -> tuple[DataFrame, Lexicon | None, tuple[str, ...]]:
+    """Documents (doc_id, text, known: the roster's names that their words can touch, or null), a lexicon for all of them where
+    the roster is small enough to be broadcast, and else the family endings, which are few.
+
+    A name is touched by a document that has its family name or one of its given names; both sides of the join are words.
+    """
+    plain = docs.select(F.col("doc_id").cast("long"), "text")
     names = roster.select("displayName").filter("displayName is not null").distinct()
-    if names.count() > MAX_ROSTER:
-        raise ValueError(f"a roster of more than {MAX_ROSTER} people can't be broadcast; give a part of it for the endings")
-    return Lexicon([r[0] for r in names.collect()])
+    if names.limit(most + 1).count() <= most:
+        return spread(plain).withColumn("known", F.lit(None).cast("array<string>")), Lexicon([r[0] for r in names.collect()]), ()
+    rows = stored(plain.withColumn("uid", F.monotonically_increasing_id()), "texts")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(u, w) for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in capitalised(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.string())], names=["uid", "word"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(n, fold(w), k == len(ws) - 1) for n in b.column(0).to_pylist() for ws in [n.split()] for k, w in enumerate(ws) if k in (0, len(ws) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["name", "word", "last"])
+
+    named = stored(names.mapInArrow(parts, "name STRING, word STRING, last BOOLEAN"), "roster")
+    families = named.filter("last").select("word").distinct()
+    ends = families.select(F.explode(F.array(*[F.when(F.length("word") > k + 2, F.substring("word", -k, k)) for k in (2, 3, 4)])).alias("e")).filter("e is not null").groupBy("e").agg(F.count("*").alias("n"))
+    least = max(3, families.count() // 60)
+    endings = tuple(sorted(r["e"] for r in ends.filter(F.col("n") >= least).collect()))  # three endings a family, at least a sixtieth each: 180 at most
+    touched = rows.select("uid", "text").filter("text is not null").mapInArrow(words, "uid LONG, word STRING").join(named.select("word", "name"), "word").groupBy("uid").agg(F.collect_set("name").alias("known"))
+    return rows.join(touched, "uid", "left").select("doc_id", "text", F.coalesce("known", F.array().cast("array<string>")).alias("known")), None, endings
 
 
-def find_details(docs: DataFrame, roster: DataFrame) -> DataFrame:
+def _reader(whole: Lexicon | None, endings: tuple[str, ...]):
+    """The lexicon of a document from its own part of the roster, or the one of all."""
+    return lambda known: whole if known is None else Lexicon(known, endings=endings)
+
+
+def find_details(docs: DataFrame, roster: DataFrame, max_roster: int = MAX_ROSTER) -> DataFrame:
     """doc_id, kind, found: each detail once per document and kind."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon(roster))
+    texts, whole, endings = lexicons(docs, roster, max_roster)
+    sent = docs.sparkSession.sparkContext.broadcast((whole, endings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        of = _reader(*sent.value)
         for b in batches:
-            rows = [(d, k, f) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, f in dict.fromkeys((k, t[x:y]) for k, x, y in details(t, known))]
+            rows = [(d, k, f) for d, t, n in zip(*(b.column(i).to_pylist() for i in range(3))) for k, f in dict.fromkeys((k, t[x:y]) for k, x, y in details(t, of(n)))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "found"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id LONG, kind STRING, found STRING")
+    return texts.mapInArrow(run, "doc_id LONG, kind STRING, found STRING")
 
 
-def redact(docs: DataFrame, roster: DataFrame, key: str = "tracelode") -> DataFrame:
-    """doc_id, text with placeholders.
+def redact(docs: DataFrame, roster: DataFrame, key: str, max_roster: int = MAX_ROSTER) -> DataFrame:
+    """doc_id, text with placeholders; `key` is the caller's secret.
 
     Details are found once and written to the shared folder; the titles before each person's names are counted over all
     documents, and each document gets the genders of its own people by joins, so no list of people is collected.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon(roster))
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    texts, whole, endings = lexicons(docs, roster, max_roster)
+    sent = docs.sparkSession.sparkContext.broadcast((whole, endings))
     detail, person = (pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())]), pa.struct([("person", pa.string()), ("gender", pa.string())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        of = _reader(*sent.value)
         for batch in batches:
-            spans = [details(t, known) for t in batch.column(1).to_pylist()]
-            people = [
-                [{"person": who, "gender": title_gender(t, a)} for (kind, a, _), who in zip(found, identities(t, found, known)) if kind == "name"] if found else []
-                for t, found in zip(batch.column(1).to_pylist(), spans)
-            ]
-            spans = [[{"kind": k, "a": a, "b": b} for k, a, b in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(detail)), pa.array(people, pa.list_(person))], names=["doc_id", "text", "spans", "people"])
+            all_spans, people = [], []
+            for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                known = of(n)
+                found = details(t, known)
+                all_spans.append([{"kind": k, "a": a, "b": b} for k, a, b in found])
+                people.append([{"person": who, "gender": title_gender(t, a)} for (kind, a, _), who in zip(found, identities(t, found, known)) if kind == "name"] if found else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(all_spans, pa.list_(detail)), pa.array(people, pa.list_(person))], names=["doc_id", "text", "known", "spans", "people"])
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        of = _reader(*sent.value)
         for batch in batches:
-            texts = [
-                redacted(t, known, key.encode(), {g["person"]: g["gender"] for g in genders or ()}, [(x["kind"], x["a"], x["b"]) for x in spans])
-                for t, spans, genders in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            new = [
+                redacted(t, of(n), key.encode(), {g["person"]: g["gender"] for g in genders or ()}, [(x["kind"], x["a"], x["b"]) for x in spans])
+                for t, n, spans, genders in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)))
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["doc_id", "text"])
 
-    schema = "doc_id LONG, text STRING, spans ARRAY<STRUCT<kind: STRING, a: INT, b: INT>>, people ARRAY<STRUCT<person: STRING, gender: STRING>>"
-    found = stored(spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(find, schema), "details")
+    schema = "doc_id LONG, text STRING, known ARRAY<STRING>, spans ARRAY<STRUCT<kind: STRING, a: INT, b: INT>>, people ARRAY<STRUCT<person: STRING, gender: STRING>>"
+    found = stored(texts.mapInArrow(find, schema), "details")
     named = found.select("doc_id", F.explode("people").alias("p")).select("doc_id", "p.person", "p.gender")
     told = named.filter("gender <> ''").groupBy("person").agg(F.sum(F.when(F.col("gender") == "f", 1).otherwise(-1)).alias("n"))
     told = told.filter("n <> 0").select("person", F.when(F.col("n") > 0, "f").otherwise("m").alias("gender"))
     of_doc = named.select("doc_id", "person").distinct().join(told, "person").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("person", "gender")).alias("genders"))
-    return found.join(of_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "spans", "genders").mapInArrow(replace, "doc_id LONG, text STRING")
+    return found.join(of_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "known", "spans", "genders").mapInArrow(replace, "doc_id LONG, text STRING")

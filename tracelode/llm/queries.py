@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +65,9 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return personal.redact(table(spark, sf, "documents"), table(spark, sf, "roster"))
+    """With the key of the session (`spark.tracelode.surrogate.key`), else with one of this run."""
+    key = spark.conf.get("spark.tracelode.surrogate.key", None) or secrets.token_hex(16)
+    return personal.redact(table(spark, sf, "documents"), table(spark, sf, "roster"), key)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -107,7 +107,7 @@ def _similarity(t: pa.Table) -> np.ndarray:
     return np.where(step & (col["raw_key"][1:] == col["raw_key"][:-1]), 1.0, np.where(step, 0.9, 0.0))
 
 
-_RUN = "session_id STRING, piece LONG, at INT, edge BOOLEAN, n LONG, first_ts LONG, last_ts LONG, first_seq LONG, first_event_id STRING, last_event_id STRING, err BOOLEAN, step_a LONG, step_b LONG"
+_RUN = "session_id STRING, piece LONG, at INT, edge BOOLEAN, n LONG, first_ts LONG, last_ts LONG, first_seq LONG, first_event_id STRING, last_event_id STRING, err BOOLEAN, step_a LONG, step_b LONG, first_raw LONG, last_raw LONG"
 
 
 def consecutive_runs(events: DataFrame, min_similarity: float = 0.9, max_gap_seconds: float | None = None, min_length: int = 1) -> DataFrame:
@@ -128,7 +128,7 @@ def consecutive_runs(events: DataFrame, min_similarity: float = 0.9, max_gap_sec
             {
                 "session_id": take("session_id", f), "piece": pa.array(np.full(len(f), number)), "at": pa.array(np.arange(len(f), dtype=np.int32)), "edge": pa.array(edge[keep]),
                 "n": pa.array(e - f + 1), "first_ts": pa.array(ts[f]), "last_ts": pa.array(ts[e]), "first_seq": take("ingest_seq", f), "first_event_id": take("id", f), "last_event_id": take("id", e),
-                "err": take("err", f), "step_a": take("step_a", f), "step_b": take("step_b", f),
+                "err": take("err", f), "step_a": take("step_a", f), "step_b": take("step_b", f), "first_raw": take("raw_key", f), "last_raw": take("raw_key", e),
             }
         )
 
@@ -139,8 +139,8 @@ def consecutive_runs(events: DataFrame, min_similarity: float = 0.9, max_gap_sec
     joins = (F.col("piece") != prev("piece")) & (F.col("err") == prev("err")) & (F.col("step_a") == prev("step_a")) & (F.col("step_b") == prev("step_b"))
     if gap is not None:
         joins = joins & (F.col("first_ts") - prev("last_ts") <= gap)
-    if min_similarity > 0.9:
-        raise ValueError("min_similarity above 0.9 would need the raw texts at the edges")
+    # The link over an edge is that of the last event before it and the first one after it, as within a piece.
+    joins = joins & (F.when(F.col("first_raw") == prev("last_raw"), 1.0).otherwise(0.9) >= min_similarity)
     stitched = (
         rows.filter("edge")
         .withColumn("new", F.when(joins, 0).otherwise(1))
