@@ -23,7 +23,12 @@ AUTH_OUTPUT = r"(http\s*40[13]\b|forbidden|unauthorized|api post .* failed: http
 AUTH_COMMAND = r"(search_console_report\.py|searchconsole\.googleapis\.com|firebase_hosting_deploy\.py|firebasehosting\.googleapis\.com|gcloud\s+projects\s+add-iam-policy-binding|gcloud\s+beta\s+run\s+domain-mappings\s+create|gh\s+repo\s+view|gh\s+pr\s+merge)"
 HARMFUL = ("command_mismatch", "missing_context", "environment_mismatch")
 KINDS = ("benign_probe", "command_mismatch", "environment_mismatch", "missing_context", "transient_external", "unknown_failure")
-SURFACES = (("git", "git"), ("npm", "node"), ("pnpm", "node"), ("pytest", "python"), ("python", "python"), ("cargo", "rust"), ("go", "go"), ("make", "make"), ("docker", "container"), ("terraform", "infra"), ("curl", "http"), ("rg", "search"), ("grep", "search"))
+#: Tool surfaces by the first word of a command (fixed values); any other is `other`.
+SURFACES = (
+    ("gcloud", "cloud:gcloud"), ("gh", "git:github_cli"), ("git", "git"), ("terraform", "infra:terraform"), ("pants", "build:pants"), ("kubectl", "k8s"), ("helm", "k8s"), ("docker", "container:docker"),
+    *((w, "js-toolchain") for w in ("npm", "npx", "pnpm", "yarn", "node", "bun")), *((w, "python-toolchain") for w in ("python", "python3", "pip", "pip3", "uv", "pytest")), *((w, "go-toolchain") for w in ("go", "gofmt", "goimports")),
+    *((w, "http-probe") for w in ("curl", "wget", "http")), *((w, "shell") for w in ("rg", "grep", "find", "ls", "bash", "zsh", "sh")),
+)
 
 
 def normalized(text: Column) -> Column:
