@@ -18,6 +18,7 @@ records has no field; the first file of a client has no changes; an empty table
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import re
@@ -151,23 +152,29 @@ _HEX = re.compile(r"(?<![A-Za-z0-9])(?=[0-9a-f]*\d)[0-9a-f]{6,}(?![A-Za-z0-9])")
 _RECORDS, _TYPE, _SHAPE, _LEAD, _WORDS, _SIZE = 0, 10, 1000, 2000, 3000, 4000
 
 
+_DIGITS, _LETTERS, _RUN, _FIRST = re.compile(r"\d+"), re.compile(r"[^\W\d_]+"), re.compile(r"(?:a[ .,;:'-]*){5,}"), re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1 << 16)
 def _bucket(text: str) -> int:
-    return zlib.crc32(text.encode()) % _BUCKETS
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % _BUCKETS
 
 
 def _shape(text: str) -> str:
-    t = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text))
-    return re.sub(r"(?:a[ .,;:'-]*){5,}", "A", t)
+    return _RUN.sub("A", _LETTERS.sub("a", _DIGITS.sub("9", text)))
 
 
 def _counters(x: str) -> tuple[int, ...]:
     """Of a whole string: the shapes of its lines in pieces of 60 characters, its leading word with what follows, and all its words."""
     plain = _HEX.sub("\u0001", x)
-    lead = re.match(r"[^\W\d_]+", plain)
-    shapes = [shape[i : i + 60] for line in plain.split("\n") for shape in (_shape(line),) for i in range(0, max(1, len(shape)), 60)]
+    lead = _FIRST.match(plain)
+    if lead and lead.end() == len(plain):  # one word
+        return (_SHAPE + 10 + _bucket("a"), _LEAD + _bucket(plain), _WORDS + _bucket(plain.lower()))
+    out = [_SHAPE + 10 + _bucket(shape[i : i + 60]) for shape in _shape(plain).split("\n") for i in range(0, max(1, len(shape)), 60)]
     tail = _shape(plain[lead.end() : lead.end() + 60]) if lead else _shape(plain[:200])
-    words = [_WORDS + _bucket(re.sub(r"\d+", "9", w.lower())) for w in _WORD.findall(plain)]
-    return (*(_SHAPE + 10 + _bucket(x) for x in shapes), _LEAD + _bucket((lead[0] if lead else "") + tail[:12]), *words)
+    out.append(_LEAD + _bucket((lead[0] if lead else "") + tail[:12]))
+    out += [_WORDS + _bucket(w) for w in _WORD.findall(_DIGITS.sub("9", plain.lower()))]
+    return tuple(out)
 
 
 #: For short strings, which often come again; long ones would fill the memory.
@@ -178,7 +185,7 @@ def content_counters(v: object) -> Iterator[int]:
     """The counters that a value adds to."""
     yield _TYPE + TYPES.index(json_type(v))
     if isinstance(v, bool):
-        yield _SHAPE
+        yield _SHAPE + (5 if v else 6)
     elif isinstance(v, (int, float)):
         finite = v == v and abs(v) != math.inf
         size = math.frexp(abs(v))[1] if finite else 0
@@ -248,8 +255,8 @@ def _bare(path: str) -> str:
     return re.sub(r"[_\W]", "", path.rpartition(".")[2]).lower()
 
 
-def compare_files(old: dict[str, dict[int, int]], new: dict[str, dict[int, int]], old_n: int, new_n: int, least: float = 0.6) -> list[tuple[str, str]]:
-    """(field, change) from the counters by path of a file and its predecessor."""
+def compare_files(old: dict[str, dict[int, int]], new: dict[str, dict[int, int]], old_n: int, new_n: int, least: float = 0.6) -> list[tuple[str, str, str | None]]:
+    """(field, change, former path of a rename) from what ingestion typed or rescued of a file and of its predecessor."""
     count = lambda f: sum(f.get(_TYPE + i, 0) for i in range(len(TYPES)))
     kind = lambda f: max(range(len(TYPES)), key=lambda i: (f.get(_TYPE + i, 0), -i))
     before = {p: f for p, f in old.items() if count(f) * 10 >= old_n}
@@ -270,9 +277,9 @@ def compare_files(old: dict[str, dict[int, int]], new: dict[str, dict[int, int]]
     for _, a, b in sorted(pairs):
         if a not in used and b not in used:
             used |= {a, b}
-            out.append((b, "renamed"))
-    out += [(p, "removed") for p in gone if p not in used] + [(p, "added") for p in came if p not in used]
-    out += [(p, "retyped") for p in sorted(set(before) & set(after)) if kind(before[p]) != kind(after[p])]
+            out.append((b, "renamed", a))
+    out += [(p, "removed", None) for p in gone if p not in used] + [(p, "added", None) for p in came if p not in used]
+    out += [(p, "retyped", None) for p in sorted(set(before) & set(after)) if kind(before[p]) != kind(after[p])]
     return out
 
 
@@ -288,11 +295,17 @@ def _report(t: pa.Table) -> pa.Table:
             sides[r["side"]][r["path"]] = counters
     found = compare_files(sides["old"], sides["new"], n["old"], n["new"]) if n["old"] and n["new"] else []
     first = rows[0]
-    return pa.table({"client_id": pa.array([first["clientId"]] * len(found), pa.string()), "file_name": pa.array([first["fileName"]] * len(found), pa.string()), "field": pa.array([f for f, _ in found], pa.string()), "change": pa.array([c for _, c in found], pa.string())})
+    column = lambda i: pa.array([f[i] for f in found], pa.string())
+    return pa.table({"client_id": pa.array([first["clientId"]] * len(found), pa.string()), "file_name": pa.array([first["fileName"]] * len(found), pa.string()), "field": column(0), "change": column(1), "former": column(2)})
 
 
 def schema_changes(raw: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
     """client_id, file_name, field, change: how each file differs from the client's preceding one."""
+    return traced_changes(raw, target).drop("former")
+
+
+def traced_changes(raw: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
+    """The same with `former`, the path that a renamed field had before."""
     counters = file_profiles(raw, target)
     file = ["clientId", "file_seq", "fileName"]
     fields = stored(counters.groupBy(*file, "path").agg(F.collect_list(F.struct("counter", "n")).alias("c")).select(*file, "path", F.col("c.counter").alias("counters"), F.col("c.n").alias("ns")), "profiles")
@@ -303,22 +316,38 @@ def schema_changes(raw: DataFrame, target: dict[str, str] | None = None) -> Data
     on = [F.col("f.clientId").eqNullSafe(F.col("g.clientId")), F.col("f.file_seq").eqNullSafe(F.col("g.file_seq")), F.col("f.fileName").eqNullSafe(F.col("g.fileName"))]
     old = fields.alias("f").join(nexts.alias("g"), on).select("f.clientId", F.col("g.next_seq").alias("file_seq"), F.col("g.next_name").alias("fileName"), "f.path", "f.counters", "f.ns", F.lit("old").alias("side"))
     new = fields.withColumn("side", F.lit("new"))
-    return old.unionByName(new).groupBy(*file).applyInArrow(_report, "client_id STRING, file_name STRING, field STRING, change STRING")
+    return old.unionByName(new).groupBy(*file).applyInArrow(_report, "client_id STRING, file_name STRING, field STRING, change STRING, former STRING")
+
+
+def approvals(renames: list[tuple[str, str, int]], target: dict[str, str] | None = None) -> dict[str, str]:
+    """Rescued path and target path, from (former path, new path, files) of the report's renames.
+
+    A path stands for the target path that renames link it to, in either direction, by the strongest chain (the link of the
+    fewest files counts, then the shorter chain, then the name). Target paths stand for themselves, for values of another type.
+    """
+    own = target or TARGET
+    links: dict[str, Counter] = {}
+    for a, b, n in renames:
+        links.setdefault(a, Counter())[b] += n
+        links.setdefault(b, Counter())[a] += n
+    best: dict[str, tuple] = {}  # of each path: (-weakest link, length, target)
+    queue = [(-math.inf, 0, t, t) for t in own]
+    heapq.heapify(queue)
+    while queue:
+        weak, length, t, path = heapq.heappop(queue)
+        if path in best:
+            continue
+        best[path] = (weak, length, t)
+        for other, n in links.get(path, {}).items():
+            if other not in best and other not in own:
+                heapq.heappush(queue, (max(weak, -n), length + 1, t, other))
+    return {path: t for path, (_, _, t) in best.items()}
 
 
 def consistent_events(raw: DataFrame, approved: dict[str, str] | None = None) -> DataFrame:
-    """One table of all files: ingested, then promoted. Without a list, every path that has a target path's bare name, and
-    every target path itself (for values of another type), is approved."""
+    """One table of all files: ingested, then promoted. Without a list, the renames that the change report finds are
+    approved: their rescued values are replayed into the columns that the fields had."""
     if approved is None:
-        approved = {p: p for p in TARGET} | ALIASES
+        counted = traced_changes(raw).filter("change = 'renamed'").groupBy("former", "field").agg(F.count("*").alias("n"))
+        approved = approvals([(r["former"], r["field"], r["n"]) for r in counted.collect()])  # pairs of paths, as many as a schema has
     return promote(ingest(raw), approved)
-
-
-#: Approved renames: rescued path and target path (fixed values, as a data owner would approve them from the report).
-ALIASES = {
-    "eventId": "id", "event_id": "id", "uid": "id", "ts": "timestamp", "time": "timestamp", "recordedAt": "timestamp", "session": "sessionId", "session_id": "sessionId", "sid": "sessionId", "agent": "agentId", "agent_id": "agentId", "actor_id": "actorId", "user": "actorId",
-    "client": "harness", "runner": "harness", "visibility": "scope", "kind": "type", "eventType": "type", "payload.cmd": "payload.command", "payload.commandLine": "payload.command", "payload.stdout": "payload.output", "payload.result": "payload.output",
-    "payload.body": "payload.text", "payload.message": "payload.text", "payload.tool": "payload.toolName", "payload.tool_name": "payload.toolName", "payload.callId": "payload.toolCallId", "payload.tool_call_id": "payload.toolCallId",
-    "payload.failed": "payload.isError", "payload.is_error": "payload.isError", "payload.exit_code": "payload.exitCode", "payload.status": "payload.exitCode", "metrics.durationMs": "metrics.latencyMs", "metrics.latency_ms": "metrics.latencyMs",
-    "metrics.result": "metrics.outcome", "metrics.signal": "metrics.outcome", "metrics.cost.total": "metrics.cost.usd", "metrics.tokens.input": "metrics.tokens.inputUncached", "metrics.tokens.completion": "metrics.tokens.output", "labels": "tags",
-}
