@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.plans import command_queries, deliveries, drift, episode_queries, evaluation, gates, policy_queries, store_queries, text_queries
+from tracelode.plans import calibration, command_queries, deliveries, drift, episode_queries, evaluation, gates, policy_queries, store_queries, text_queries
 
-_MODULES = (deliveries, drift, episode_queries, gates, text_queries, command_queries, policy_queries, evaluation, store_queries)
+_MODULES = (deliveries, drift, episode_queries, gates, text_queries, command_queries, policy_queries, evaluation, calibration, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
