@@ -160,10 +160,20 @@ def test_ingest_and_promote(spark):
     raw = spark.createDataFrame([(i, "c", "f", 1, None, x, None, None) for i, x in enumerate(lines)], RAW)
     first = {r.record_no: r for r in schema_drift.ingest(raw).collect()}
     assert set(first) == {0, 1} and first[0].payload_isError is True and first[1].id is None
-    got = {r.record_no: r for r in schema_drift.consistent_events(raw).collect()}
+    same = {p: p for p in schema_drift.TARGET}
+    got = {r.record_no: r for r in schema_drift.consistent_events(raw, same | {"event_id": "id"}).collect()}
     assert got[1].id == "e2" and got[1].payload_isError is False and json.loads(got[1]._rescued) == {"payload.exitCode": "bad"} and json.loads(got[0]._rescued) == {"odd": "1"}
 
 
+def test_renames_of_the_report_are_promoted(spark):
+    old = [json.dumps({"id": f"ev-{i}", "payload": {"command": f"make all{i} -j {i}"}}) for i in range(8)]
+    new = [json.dumps({"eventKey": f"ev-{i}", "payload": {"cmdline": f"make all{i} -j {i}"}}) for i in range(8)]
+    rows = [(i, "c", f"f{s}", s, None, x, None, None) for i, (s, x) in enumerate([(1, x) for x in old] + [(2, x) for x in new])]
+    got = schema_drift.consistent_events(spark.createDataFrame(rows, RAW)).collect()
+    assert len(got) == 16 and all(r.id and r.payload_command and r._rescued is None for r in got)
+    assert schema_drift.approvals([("id", "a", 2), ("a", "b", 1), ("type", "b", 3), ("x", "y", 9)]) == {p: p for p in schema_drift.TARGET} | {"a": "id", "b": "type"}
+
+
 def brute_episodes(rows):
     found = []
     by = {}
@@ -186,11 +196,59 @@ def test_episodes_against_scan(spark, seed):
     rnd = random.Random(seed)
     rows = [(i, i * 10, f"s{rnd.randrange(4)}", (f := rnd.random() < 0.3), not f and rnd.random() < 0.2) for i in range(150)]
     df = spark.createDataFrame(rows, "seq long, ts_ms long, session_id string, is_failure boolean, is_success boolean")
-    extra = {"latency_ms": F.lit(1).cast("decimal(18,2)"), "tok_in": F.lit(1).cast("decimal(18,2)"), "tok_cached": F.lit(0).cast("decimal(18,2)"), "tok_out": F.lit(0).cast("decimal(18,2)"), "command": F.lit("c"), "output": F.lit(""), "model": F.lit("m")}
+    extra = {"latency_ms": F.lit(1).cast("decimal(18,2)"), "tok_in": F.lit(1).cast("decimal(18,2)"), "tok_cached": F.lit(0).cast("decimal(18,2)"), "tok_out": F.lit(0).cast("decimal(18,2)"), "tok_think": F.lit(0).cast("decimal(18,2)"), "tok_write": F.lit(0).cast("decimal(18,2)"), "command": F.lit("c"), "output": F.lit(""), "model": F.lit("m")}
     got = sorted((r.session_id, r.start_seq) for r in episodes.extract_episodes(df.withColumns(extra)).collect())
     assert got == brute_episodes(rows)
 
 
+def test_running_counts_in_any_partitioning(spark):
+    from tracelode.operators import ordered
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["hot", "hot", "a", "b"]), rnd.random() < 0.4) for i in range(400)]
+    want, seen = {}, {}
+    for i, g, f in rows:
+        n, k = seen.get(g, (0, 0))
+        want[i] = (n, k)
+        seen[g] = (n + 1, k + f)
+    df = spark.createDataFrame(rows, "i long, g string, f boolean")
+    for parts in (1, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got = {r.i: (r.n, r.k) for r in ordered.running(df, "g", ["i"], n=F.lit(1), k=F.col("f")).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+        assert got == want
+    before = {r.i: r.p_i for r in ordered.predecessors(df, "g", ["i"], ["i"], "p_").collect()}
+    assert all(before[i] == max(j for j, h, _ in rows if h == g and j < i) for i, g, _ in rows if want[i][0])
+
+
+#: A tool result and what its failure is (the rule that comes first holds).
+ISSUES = [
+    ("git push", "connection timed out", "transient_external", 0.84), ("python scripts/search.py x", "Traceback (most recent call last):\n KeyError", "transient_external", 0.84), ("npm run eval:gate", "gate pass: false", "benign_probe", 0.80),
+    ("gh pr checks 4", "no checks reported on the 'main' branch", "benign_probe", 0.78), ("cd a && rg foo", "", "benign_probe", 0.82), ("curl -s x", "404 page", "benign_probe", 0.82), ("make x || grep y z", "No matches found", "benign_probe", 0.82), ("curl x; make deploy", "not found", "unknown_failure", 0.35),
+    ("tool --fast", "error: unknown option --fast", "command_mismatch", 0.90), ("node x", "TypeError: y", "missing_context", 0.78), ("ls nope", "ls: nope: No such file or directory", "missing_context", 0.78), ("gh repo view", "HTTP 403", "missing_context", 0.78),
+    ("cat nope", "cat: nope: No such file or directory", "environment_mismatch", 0.86), ("foo", "bash: foo: command not found", "environment_mismatch", 0.86), ("make", "", "environment_mismatch", 0.55), ("make", "(no output) exit 2", "environment_mismatch", 0.55), ("make", "3 tests red", "unknown_failure", 0.35), ("", "", "environment_mismatch", 0.55),
+]
+
+
+def test_issue_classifier(spark):
+    from tracelode.operators import issues
+
+    rows = spark.createDataFrame([(i, c, o) for i, (c, o, _, _) in enumerate(ISSUES)], "i int, c string, o string")
+    got = {r.i: r.x for r in rows.select("i", issues.classify(F.col("c"), F.col("o")).alias("x")).collect()}
+    for i, (c, o, kind, confidence) in enumerate(ISSUES):
+        assert (got[i].kind, got[i].confidence, got[i].harmful, got[i].abstained) == (kind, confidence, kind in issues.HARMFUL, kind == "unknown_failure"), (c, o)
+
+
+def test_first_events_are_the_evidence(spark):
+    from tracelode.operators import mining
+
+    arcs = spark.createDataFrame([("s", i, i + 1, "f", "g") for i in range(0, 40, 2)] + [("s", 90, 91, "h", "g")], "session_id string, failure_seq long, success_seq long, failure_sig string, success_sig string")
+    got = {r.failure_sig: r.evidence for r in mining.evidence(arcs).collect()}
+    assert got == {"f": list(range(8)), "h": [90, 91]}
+
+
 def test_bootstrap_draws(spark):
     state, states = 31, []
     for _ in range(50):
@@ -256,6 +314,55 @@ def test_raw_sessions(spark, tmp_path):
     assert got["c2"].is_error is True and got["c2"].tool_latency_ms == 4000
 
 
+def test_session_models_and_names(spark):
+    rows = [("a/s1.JSONL", 1, {"type": "session"}), ("a/s1.JSONL", 2, {"type": "message", "message": {"provider": "p", "model": " m1 "}}), ("a/s1.JSONL", 3, {"type": "model_change", "modelId": "m2"}), ("b/s1.jsonl", 4, {"type": "model_change", "provider": "q", "modelId": "m2"}), ("c/s2.jsonl", 5, {"type": "message", "model": ""})]
+    lines = spark.createDataFrame([(f, i, json.dumps(o)) for f, i, o in rows], "file string, at long, value string")
+    models = jsonl.file_models(lines)
+    assert {r.file: r.model for r in models.collect()} == {"a/s1.JSONL": "p/m1", "b/s1.jsonl": "q/m2", "c/s2.jsonl": "unknown"}
+    named = models.withColumn("session_id", jsonl.session_hint(F.col("file")))
+    assert {r.session_id: r.model for r in jsonl.session_models(named).collect()} == {"s1": "mixed:p/m1|q/m2", "s2": "unknown"}
+
+
+def test_shipping_is_idempotent(spark, tmp_path):
+    write_lines(tmp_path / "in/s1.jsonl", [event(1)])
+    write_lines(tmp_path / "in/s2.jsonl", [event(2)])
+    ship = lambda **kw: jsonl.ship_sessions(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "out"), **kw)
+    assert ship(dry_run=True) == {"scanned": 2, "shipped": 2, "unchanged": 0}
+    assert ship(most=1) == {"scanned": 2, "shipped": 1, "unchanged": 0}
+    assert ship() == {"scanned": 2, "shipped": 1, "unchanged": 1} and ship()["shipped"] == 0
+    write_lines(tmp_path / "in/s1.jsonl", [event(1), event(3)])
+    assert ship()["shipped"] == 1
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.session_id for r in got.collect()) == ["s1", "s1", "s2"] and got.filter("sha2(body, 256) <> sha256").count() == 0
+
+
+def test_reports(spark, tmp_path):
+    report = spark.createDataFrame([("/home/ann/x", None, "pairs,wall", 2)], "path string, empty string, failures string, pairs int")
+    jsonl.write_report(report, str(tmp_path / "r"))
+    assert json.loads(spark.read.text(str(tmp_path / "r")).first()[0]) == {"path": "/home/ann/x", "empty": None, "failures": "pairs,wall", "pairs": 2}
+    assert "- wall" in jsonl.memo("Gate", report) and "**hold**" in jsonl.memo("Gate", report)
+    assert jsonl.published(report, ["path", "pairs", "none"]).first().asDict() == {"path": "~/x", "pairs": 2}
+
+
+def test_reviews(spark):
+    from tracelode.operators import review
+
+    state, order = 7, list(range(10))
+    for i in range(9, 0, -1):
+        state = (state * 1664525 + 1013904223) % 2**32
+        j = int(state / 2**32 * (i + 1))
+        order[i], order[j] = order[j], order[i]
+    assert review.shuffled(range(10), 7) == order and review.shuffled([], 1) == []
+    rows = spark.createDataFrame([(i, "abc"[i % 3] if i < 30 else "c") for i in range(300)], "id long, kind string")
+    got = review.stratified_sample(rows, "kind", "id", 24)
+    assert len(set(got)) == 24 and sum(i % 3 == 0 and i < 30 for i in got) == 8 and got == review.stratified_sample(rows.repartition(7), "kind", "id", 24)
+    assert sorted(review.stratified_sample(rows.limit(5), "kind", "id", 24)) == [0, 1, 2, 3, 4]
+    both = review.dual_assignment(range(20))
+    assert sum(len(v) == 2 for v in both.values()) == 2 and sum(v == ("a",) for v in both.values()) == 9
+    with pytest.raises(ValueError):
+        review.require_unique(spark.createDataFrame([(1,), (1,)], "id long"), "id")
+
+
 def test_streams(spark, tmp_path):
     from tracelode.streaming import ingest
 
